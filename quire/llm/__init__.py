@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import op01_surrogates, op02_pieces, op03_shards, op05_mixing, op07_quality, op08_secrets, op09_langid, op10_topk
+    from . import op01_surrogates, op02_pieces, op03_shards, op04_repeats, op05_mixing, op07_quality, op08_secrets, op09_langid, op10_topk
 
     return {
         f.__name__: f
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op01_surrogates.op1_surrogates,
             op02_pieces.op2_sentencepiece,
             op03_shards.op3_shards,
+            op04_repeats.op4_repeats,
             op05_mixing.op5_mixing,
             op07_quality.op7_quality,
             op08_secrets.op8_secrets,
