@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import op01_surrogates, op02_pieces, op03_shards, op04_repeats, op05_mixing, op07_quality, op08_secrets, op09_langid, op10_topk
+    from . import op01_surrogates, op02_pieces, op03_shards, op04_repeats, op05_mixing, op06_jaccard, op07_quality, op08_secrets, op09_langid, op10_topk
 
     return {
         f.__name__: f
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op03_shards.op3_shards,
             op04_repeats.op4_repeats,
             op05_mixing.op5_mixing,
+            op06_jaccard.op6_jaccard,
             op07_quality.op7_quality,
             op08_secrets.op8_secrets,
             op09_langid.op9_langid,

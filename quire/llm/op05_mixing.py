@@ -104,10 +104,10 @@ def plan(sizes: list[int], block: int = BLOCK, shards: int = MIX_SHARDS, weights
     return out
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int = SEED, extra: tuple = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document, then the ``extra`` columns."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"))
+    rows = docs.select(F.struct(*extra).alias("extra_") if extra else F.lit(0).alias("extra_"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"))
     totals = rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     sources = []
@@ -144,7 +144,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int
         return f"coalesce(transform(array({p}), p -> p.cum + {full} + ({x} - {j} * {block}L) * {chosen})[0], 0L)"
 
     taken = F.when(F.col("size") > 0, F.expr(f"{below('b')} - {below('a')}")).otherwise(F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    found = ("doc_id", "size", "source_size", "target")
+    return rows.select(*found, taken.cast("bigint").alias("taken"), *[F.col(f"extra_.{c}") for c in extra if c not in found])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
