@@ -8,7 +8,8 @@ ones by rising count (frequent: seen often by the tasks' own counts over all doc
 bounded and only steers cost, never results). Two sets that link share at least one of the first
 n - ceil(0.8 n) + 1 shingles of each, so only nodes that share such a key meet, each key a group.
 
-R-tree. The shingles of a node are hashed into ``GROUPS`` groups; the counts are a point. In a group
+R-tree. The shingles of a node are hashed into groups (``GROUPS`` in the tree, more for long texts at
+its leaves); the counts are a point. In a group
 of nodes the points are packed into a tree by sorted tiles; the overlap of a node with anything
 below a tree node is at most the sum of the smaller coordinates of its point and of the box's upper
 corner, and has to reach ceil(0.8 / 1.8 (n_a + n_b)). What survives at the leaves is verified on the
@@ -82,12 +83,37 @@ def signatures(h: np.ndarray, before: np.ndarray) -> np.ndarray:
         return mix(sums[before[1:]] - sums[before[:-1]] + n * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _doc_id() -> F.Column:
-    return F.col("doc_id").cast("bigint").alias("doc_id")
+def count_points(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Counts of each set's shingles in each group, 16 bits each; 65535 stands for any larger count.
+
+    A set of n shingles has about n / 4 groups, a power of two and ``GROUPS`` at least, so that long
+    texts are told apart as well as short ones; a point is folded to fewer groups by adding up.
+    """
+    m = mix(h)
+    ends = np.cumsum(n)
+    wide = np.maximum(GROUPS, 1 << np.maximum(0, np.log2(np.maximum(n, 4) / 4).astype(np.int64)))
+    out = []
+    for a, b, g in zip(ends - n, ends, np.minimum(wide, 65536)):
+        counts = np.bincount((m[a:b] & np.uint64(g - 1)).astype(np.int64), minlength=g)
+        out.append(np.minimum(counts, 65535).astype(np.uint16).tobytes())
+    return out
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point of the same set with fewer groups; a saturated count stays without bound."""
+    wide = point.astype(np.int64)
+    wide[point == 65535] = 1 << 40
+    return wide.reshape(-1, groups).sum(axis=0)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text); rows without an id get one from NO_ID on, from their text's hash."""
+    spare = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID - 1))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), spare).alias("doc_id"), "text")
 
 
 def _nodes_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: (doc_id, sig, n); of kind 1: shingles seen repeatedly in a slice, with counts."""
+    """Rows of kind 0: (doc_id, sig, n, point); of kind 1: shingles seen repeatedly in a slice, with counts."""
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -98,13 +124,13 @@ def _nodes_and_counts(docs: DataFrame) -> DataFrame:
                 n = np.diff(before)
                 sig = signatures(h, before).view(np.int64)
                 ids = batch.column(0).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), ids, pa.array(sig), pa.array(n.astype(np.int64))], names=["kind", "doc_id", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), ids, pa.array(sig), pa.array(n.astype(np.int64)), pa.array(count_points(h, n), pa.binary())], names=["kind", "doc_id", "sig", "n", "point"])
                 u, c = np.unique(h, return_counts=True)
                 u, c = u[c > 2], c[c > 2]
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "doc_id", "sig", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.binary())], names=["kind", "doc_id", "sig", "n", "point"])
 
-    return docs.select(_doc_id(), "text").mapInArrow(run, "kind byte, doc_id bigint, sig bigint, n bigint")
+    return docs.mapInArrow(run, "kind byte, doc_id bigint, sig bigint, n bigint, point binary")
 
 
 def _keys(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
@@ -167,33 +193,32 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition(shuffle_partitions(keys.sparkSession), "key").mapInArrow(run, "key bigint, sig bigint, n bigint, early boolean")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(sig, n, point, hashes): the count vector (16-bit, saturated counts judged as unbounded) and the set."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, n, hashes) of rows (id, sig, text) whose text has the signature asked for, once each."""
 
     def run(batches: Iterator):
         import pyarrow as pa
 
+        seen = set()
         for batch in batches:
             for i, j, data, offs in text_slices(batch, "text", SLICE):
                 h, before = shingle_sets(data, offs)
                 n = np.diff(before)
-                row = np.repeat(np.arange(j - i), n)
-                group = (mix(h) % np.uint64(GROUPS)).astype(np.int64)
-                point = np.minimum(np.bincount(row * GROUPS + group, minlength=(j - i) * GROUPS), 65535).astype(np.uint16).reshape(j - i, GROUPS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signatures(h, before).view(np.int64)), pa.array(n.astype(np.int64)), pa.array([p.tobytes() for p in point], pa.binary()), pa.array([h[a:b].tobytes() for a, b in zip(before[:-1], before[1:])], pa.binary())],
-                    names=["sig", "n", "point", "hashes"],
-                )
+                ids, asked = (batch.column(k).slice(i, j - i).to_numpy() for k in (0, 1))
+                good = np.flatnonzero(signatures(h, before).view(np.int64) == asked)
+                good = [g for g in good if ids[g] not in seen]
+                seen.update(ids[good])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[good], pa.int64()), pa.array(n[good].astype(np.int64)), pa.array([h[before[g] : before[g + 1]].tobytes() for g in good], pa.binary())], names=["id", "n", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "sig bigint, n bigint, point binary, hashes binary")
+    return texts.select("id", "sig", "text").mapInArrow(run, "id bigint, n bigint, hashes binary")
 
 
 class CountTree:
     """Points packed into leaves by sorted tiles; boxes keep upper corners and the least and most shingles."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        wide = points.astype(np.int64)
-        wide[points == 65535] = 1 << 40
+    def __init__(self, raw: list[bytes], sizes: np.ndarray):
+        self.full = [np.frombuffer(x, np.uint16) for x in raw]
+        wide = np.array([folded(x, GROUPS) for x in self.full])
         self.points, self.sizes = wide, sizes
         self.leaves = self._tiles(np.arange(len(sizes)), 0)
         self.upper = np.array([wide[x].max(axis=0) for x in self.leaves])
@@ -234,7 +259,59 @@ class CountTree:
         m = self.sizes[at]
         bound = np.minimum(np.minimum(self.points[at], p).sum(axis=1), np.minimum(m, n))
         ok = (bound >= need(n, m)) & (at != q)
-        return at[ok], bound[ok]
+        at, bound = at[ok], bound[ok]
+        if len(self.full[q]) > GROUPS and len(at):
+            bound = np.array([self.finer(q, x, y) for x, y in zip(at, bound)])
+            ok = bound >= need(n, self.sizes[at])
+            at, bound = at[ok], bound[ok]
+        return at, bound
+
+    def finer(self, a: int, b: int, bound: int) -> int:
+        """The bound of a pair by the most groups that both points have."""
+        p, q = self.full[a], self.full[b]
+        g = min(len(p), len(q))
+        return int(min(bound, np.minimum(folded(p, g), folded(q, g)).sum())) if g > GROUPS else bound
+
+
+def _groups(batches: Iterator):
+    """Key groups of two nodes or more: rows' places in (key, id, n, extra, point) arrays, and the arrays."""
+    got, point = [], []
+    for b in batches:
+        got.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
+        point += b.column(4).to_pylist()
+    if not point:
+        return
+    key, ids, n, extra = (np.concatenate(x) for x in zip(*got))
+    del got
+    order = np.lexsort((ids, key))
+    edges = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a > 1:
+            yield order[a:b], key, ids, n, extra, point
+
+
+def _bounded_rows(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, n, early, point) that have a partner within the bound in their group, without the point."""
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        keep, held = [], None
+        for g, *held in _groups(batches):
+            tree = CountTree([held[4][x] for x in g], held[2][g])
+            alive = np.zeros(len(g), bool)
+            for q in range(len(g)):
+                if not alive[q]:
+                    at, _ = tree.search(q)
+                    if len(at):
+                        alive[q] = True
+                        alive[at] = True
+            keep.append(g[alive])
+        if held:
+            at = np.concatenate(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in held[:4]], names=["key", "id", "n", "early"])
+
+    return rows.select("key", "id", "n", "early", "point").repartition(shuffle_partitions(rows.sparkSession), "key").mapInArrow(run, "key bigint, id bigint, n bigint, early boolean")
 
 
 def _tree_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
@@ -247,28 +324,18 @@ def _tree_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
     def run(batches: Iterator):
         import pyarrow as pa
 
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(-1, GROUPS)) for b in batches if b.num_rows]
-        if not got:
-            return
-        key, ids, n, label, point = (np.concatenate(x) for x in zip(*got))
-        del got
-        order = np.lexsort((ids, key))
-        edges = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
         left, right, held = [], [], 0
         seen = set()
-        for a, b in zip(edges[:-1], edges[1:]):
-            g = order[a:b]
-            if len(g) < 2:
-                continue
+        for g, _, ids, n, label, point in _groups(batches):
             lab = label[g]
             if nearest is None and (lab == lab[0]).all():
                 continue
             own = (ids[g].tobytes(), lab.tobytes())
-            if own in seen:
+            if own in seen:  # the same nodes meet under another key
                 continue
             if len(seen) < 100_000 and len(g) < 1000:
                 seen.add(own)
-            tree = CountTree(point[g], n[g])
+            tree = CountTree([point[x] for x in g], n[g])
             for q in range(len(g)):
                 at, bound = tree.search(q)
                 before = at < q
@@ -333,25 +400,23 @@ def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and rep (the id that stands for the document's set)."""
     spark = docs.sparkSession
     path = work_dir(spark)
-    docs = docs.select("doc_id", "text")
+    docs = _named(docs)
     scan = written(_nodes_and_counts(docs), f"{path}/scan")
     own = scan.where("kind = 0")
     often = scan.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "sig").limit(FREQUENT).orderBy("c", "sig").toArrow()
     order = often.column("sig").to_numpy().view(np.uint64)
     by = np.argsort(order)
     frequent, place = order[by], by.astype(np.int64) + 1
-    spare = F.lit(NO_ID) + F.pmod(F.col("sig"), F.lit(NO_ID - 1))
-    nodes = own.where("n > 0").groupBy("sig", "n").agg(F.coalesce(F.min("doc_id"), F.min(spare)).alias("id"))
+    nodes = own.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("id"), F.first("point").alias("point"))
     nodes = written(nodes, f"{path}/nodes")
     shared = written(_shared_keys(_keys(docs, frequent, place)), f"{path}/shared")
-    shared = written(shared.join(nodes, ["sig", "n"]).select("key", "id", "n", "early"), f"{path}/rows")
+    shared = written(_bounded_rows(shared.join(nodes, ["sig", "n"])), f"{path}/rows")
 
-    wanted = shared.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash")
-    texts = docs.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id IS NULL").select("text"))
-    sets = _sets(texts).join(nodes, ["sig", "n"])
-    sets = written(sets.groupBy("id").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("hashes").alias("hashes")), f"{path}/sets")
+    wanted = shared.select("id").distinct().join(nodes.select("id", "sig"), "id")
+    texts = docs.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id")
+    sets = written(_sets(texts), f"{path}/sets")
 
-    points = sets.select("id", "point")
+    points = nodes.select("id", "point")
     first = shared.where("early").join(points, "id").withColumn("label", F.col("id"))
     links = written(_verified(_tree_pairs(first, NEAREST), sets), f"{path}/links0")
     labels = components(links, f"{path}/c0")
@@ -363,8 +428,10 @@ def link_components(docs: DataFrame) -> DataFrame:
     labels = components(every, f"{path}/c1")
     named = nodes.join(labels, "id", "left").select("sig", "n", F.coalesce("label", "id").alias("component"), F.col("id").alias("rep"))
     out = own.join(named, ["sig", "n"], "left")
-    real = F.when(F.col("component") < NO_ID, F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, real).otherwise(F.col("doc_id")).alias("component_id"), "rep")
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return out.select(
+        real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, real("component")).otherwise(real("doc_id")).alias("component_id"), "rep"
+    )
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
