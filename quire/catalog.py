@@ -5,11 +5,262 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as tx
+from .operators import lint, segments, terms, usage
+from .sources import html
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_PAIRS = """SELECT conv_id, turn, text AS source, target FROM (
+  SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS target FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'"""
+_LINES = """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS seg, source FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS source, unnest(range(len(string_split(text, chr(10))))) AS o FROM documents) WHERE trim(source) <> ''"""
+_TOKENS = r"""SELECT doc_id, s, unnest(range(len(w))) AS pos, unnest(w) AS tok FROM (
+  SELECT doc_id, s, regexp_extract_all(s, '\p{L}(?:[\p{L}''\-])*') AS w FROM (
+    SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])["''”’)]*\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM documents @WHERE@))"""
+_TITLE = r"regexp_matches(tok, '^\p{Lu}') AND lower(substr(tok, 2)) = substr(tok, 2) AND upper(substr(tok, 2)) <> substr(tok, 2)"
+
+
+@_query(f"SELECT conv_id, turn, round(length(trim(target)) / length(trim(source)), 6) AS ratio, CASE WHEN length(trim(target)) = 0 THEN 'empty' WHEN length(trim(target)) / length(trim(source)) < 0.3 THEN 'too_short' WHEN length(trim(target)) / length(trim(source)) > 3 THEN 'too_long' ELSE 'ok' END AS flag FROM ({_PAIRS})")
+def length_ratio_flags(spark, sf_dir):
+    s, t = F.col("source"), F.col("target")
+    return lint.turn_pairs(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", lint.length_ratio(s, t).alias("ratio"), lint.length_flag(s, t).alias("flag"))
+
+
+@_query(f"SELECT conv_id, turn, length(trim(source)) >= 120 AND length(trim(target)) / length(trim(source)) < 0.15 AS gated FROM ({_PAIRS})")
+def en_too_short_gate(spark, sf_dir):
+    return lint.turn_pairs(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", lint.hard_short(F.col("source"), F.col("target")).alias("gated"))
+
+
+@_query(f"""SELECT conv_id, turn, substr(trim(source), 1, 1) IN ('"', '“', '「', '『', '«') AND NOT regexp_matches(target, '["“”「」『』«»]') AS lost FROM ({_PAIRS})""")
+def quote_loss_pairs(spark, sf_dir):
+    return lint.turn_pairs(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", lint.quote_loss(F.col("source"), F.col("target")).alias("lost"))
+
+
+@_query(_LINES)
+def segment_lines(spark, sf_dir):
+    return segments.lines(_t(spark, sf_dir, "documents"), "doc_id")
+
+
+@_query(f"SELECT doc_id, seg, CAST(sum(CASE WHEN length(source) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seg) AS BIGINT) AS chapter FROM ({_LINES})")
+def chapter_by_heading(spark, sf_dir):
+    return segments.chapters(segments.lines(_t(spark, sf_dir, "documents"), "doc_id"), "doc_id", F.length("source") < 40).select("doc_id", "seg", "chapter")
+
+
+@_query(f"""WITH RECURSIVE l AS (SELECT doc_id, seg, length(source) AS n FROM ({_LINES})),
+p AS (SELECT doc_id, seg, n, n AS size, 0 AS pack FROM l WHERE seg = 0
+  UNION ALL SELECT l.doc_id, l.seg, l.n, CASE WHEN p.size > 0 AND p.size + l.n > 1800 THEN l.n ELSE p.size + l.n END, CASE WHEN p.size > 0 AND p.size + l.n > 1800 THEN p.pack + 1 ELSE p.pack END
+  FROM p JOIN l ON l.doc_id = p.doc_id AND l.seg = p.seg + 1)
+SELECT doc_id, CAST(pack AS INTEGER) AS pack, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n_chars FROM p GROUP BY doc_id, pack""")
+def batch_pack_1800(spark, sf_dir):
+    return segments.packs(_t(spark, sf_dir, "documents"), "doc_id")
+
+
+@_query("""SELECT conv_id, island, flag, min(turn) AS first_pos, max(turn) AS last_pos FROM (
+  SELECT conv_id, turn, flag, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS island FROM (
+    SELECT conv_id, turn, role = 'assistant' AS flag, CASE WHEN lag(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) <> (role = 'assistant') THEN 1 ELSE 0 END AS new FROM conversations)) GROUP BY conv_id, island, flag""")
+def resume_islands(spark, sf_dir):
+    return segments.islands(_t(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "assistant")
+
+
+@_query(f"SELECT tok, count(*) AS token_total, count(DISTINCT doc_id) AS n_docs, bool_or(pos <> 0) AS ever_inside FROM ({_TOKENS.replace('@WHERE@', '')}) WHERE {_TITLE} GROUP BY tok")
+def title_case_tokens(spark, sf_dir):
+    return terms.title_case_tokens(_t(spark, sf_dir, "documents"), "doc_id")
+
+
+_STOP = ", ".join(f"'{w}'" for w in terms.STOP)
+_ACRO = r"regexp_matches(tok, '^\p{Lu}{2,}$')"
+
+
+def _mine(where: str) -> str:
+    tokens = _TOKENS.replace("@WHERE@", where)
+    return f"""SELECT tok AS surface, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM ({tokens})
+WHERE (({_TITLE}) OR {_ACRO}) AND lower(tok) NOT IN ({_STOP}) GROUP BY tok HAVING count(*) >= 2 AND bool_or(pos <> 0 OR {_ACRO})"""
+
+
+@_query(_mine("WHERE lang = 'en'"))
+def mine_candidates_en(spark, sf_dir):
+    return terms.candidates(_t(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id")
+
+
+@_query(f"""WITH u AS (SELECT 0 AS ch, surface, n FROM ({_mine("WHERE lang = 'en'")}) UNION ALL SELECT 1, surface, n FROM ({_mine("WHERE lang = 'de'")}))
+SELECT lower(surface) AS key, max(n) AS n, arg_min(surface, CAST(ch AS VARCHAR) || surface) AS surface FROM u GROUP BY 1""")
+def merge_candidate_channels(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return terms.merge_channels(terms.candidates(d.where("lang = 'en'"), "doc_id"), terms.candidates(d.where("lang = 'de'"), "doc_id"))
+
+
+@_query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
+def terms_in_text(spark, sf_dir):
+    return terms.contained(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@_query("""SELECT item_id, count(*) AS n_docs, count(*) FILTER (WHERE NOT contains(text, bt)) AS n_missed FROM (
+  SELECT b.item_id, d.text, b.text AS bt FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) GROUP BY item_id""")
+def term_miss(spark, sf_dir):
+    d, b = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    hit = terms.contained(d, b, "doc_id", "text", "item_id", "text").join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", F.col("text").alias("bt")), "item_id")
+    return hit.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(~F.col("text").contains(F.col("bt"))).alias("n_missed"))
+
+
+@_query(r"""SELECT k.doc_id, m.first_id FROM (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS key FROM documents) k
+JOIN (SELECT lower(regexp_replace(text, '\s+', '', 'g')) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1) m ON k.key = m.key AND n > 1 WHERE k.doc_id <> m.first_id""")
+def untranslated_pairs(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.compare_key(F.col("text")), 256).alias("key"))
+    first = d.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return d.join(first, "key").where("doc_id <> first_id").select("doc_id", "first_id")
+
+
+@_query(r"SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS num FROM documents")
+def number_tokens(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:[.,][0-9]+)*"), 0)).alias("num"))
+
+
+@_query(r"SELECT doc_id, round((length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g'))) / length(text), 6) AS ratio FROM documents WHERE length(text) > 0")
+def letter_ratio(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.round(tx.share_of(F.col("text"), "[A-Za-z]"), 6).alias("ratio"))
+
+
+@_query("SELECT doc_id, replace(replace(regexp_replace(text, '[.]{3,}', '……', 'g'), '--', '——'), chr(9), ' ') AS text FROM documents")
+def normalize_punct(spark, sf_dir):
+    c = F.regexp_replace("text", r"[.]{3,}", "……")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace(c, F.lit("--"), F.lit("——")), F.lit("\t"), F.lit(" ")).alias("text"))
+
+
+_HEADINGS = [("第5章 雨", "第五章 雨"), ("第12章", "第十二章"), ("第1024章", "第一千零二十四章"), ("第0章", "第0章"), ("第10000章", "第10000章"), ("  第２０回", "  第二十回"), ("序章", "序章"), ("第110章", "第一百一十章"), ("第五章", "第五章")]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _HEADINGS) + ") AS t(heading, numbered)")
+def heading_numbering(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in _HEADINGS], "heading string").select("heading", tx.number_heading(F.col("heading")).alias("numbered"))
+
+
+_CONF = "CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'medium' ELSE 'high' END"
+
+
+@_query(f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS source, event_type AS target, {_CONF} AS confidence, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS rk, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT source, target, confidence, rk, 'ok' AS status, 0 AS nc, 0 AS nu, k FROM e WHERE k = 1
+ UNION ALL SELECT f.source, CASE WHEN e.target <> f.target AND e.rk > f.rk THEN e.target ELSE f.target END, CASE WHEN e.target <> f.target AND e.rk > f.rk THEN e.confidence ELSE f.confidence END,
+  CASE WHEN e.target <> f.target AND e.rk > f.rk THEN e.rk ELSE f.rk END, CASE WHEN e.target <> f.target AND e.rk > f.rk THEN 'conflict' ELSE f.status END,
+  f.nc + CASE WHEN e.target <> f.target THEN 1 ELSE 0 END, f.nu + CASE WHEN e.target <> f.target AND e.rk > f.rk THEN 1 ELSE 0 END, e.k FROM f JOIN e ON e.source = f.source AND e.k = f.k + 1)
+SELECT source, target, confidence, status, CAST(nc AS INTEGER) AS n_conflicts, CAST(nu AS INTEGER) AS n_updates FROM (SELECT *, max(k) OVER (PARTITION BY source) AS mk FROM f) WHERE k = mk""")
+def glossary_upsert(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("target"), F.expr(_CONF).alias("confidence"), F.col("event_id").alias("seq"))
+    return terms.upsert_fold(e)
+
+
+@_query("SELECT sha256(trim(text)) AS source_hash, max(doc_id) AS seq, arg_max(source, doc_id) AS target FROM documents GROUP BY 1")
+def tm_last_write(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.sha2(tx.py_strip(F.col("text")), 256).alias("source_hash"), "doc_id", "source")
+    return d.groupBy("source_hash").agg(F.max("doc_id").alias("seq"), F.max_by("source", "doc_id").alias("target"))
+
+
+@_query("SELECT event_type AS tier, user_id % 7 AS stage, count(*) AS calls, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 7), ())")
+def usage_grouping_sets(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 7).alias("st"), F.round("value").cast("bigint").alias("v"))
+    return usage.grouping(e, "event_type", "st", "v")
+
+
+def _slices(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    one = lambda c: e.where(c).groupBy("user_id").agg(F.count("*").alias("n"))
+    return one("event_id % 3 = 0"), one("event_id % 3 <> 0")
+
+
+_SLICES = "WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1) "
+
+
+@_query(_SLICES + "SELECT coalesce(a.user_id, b.user_id) AS user_id, greatest(0, coalesce(b.n, 0) - coalesce(a.n, 0)) AS grown FROM a FULL JOIN b ON a.user_id = b.user_id WHERE greatest(0, coalesce(b.n, 0) - coalesce(a.n, 0)) > 0")
+def usage_delta(spark, sf_dir):
+    a, b = _slices(spark, sf_dir)
+    return usage.delta(b, a, "user_id", "n")
+
+
+@_query(_SLICES + "SELECT user_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY user_id")
+def usage_merge(spark, sf_dir):
+    return usage.merged(*_slices(spark, sf_dir), "user_id", "n")
+
+
+@_query("SELECT d.source, count(*) AS n_docs, count(l.doc_id) AS n_labelled, count(*) FILTER (WHERE l.quality = 0) AS n_low, count(*) FILTER (WHERE l.toxic = 1) AS n_toxic, count(*) FILTER (WHERE trim(d.text) = '') AS n_empty FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
+def report_rollup(spark, sf_dir):
+    j = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").withColumnRenamed("doc_id", "lid"), F.col("doc_id") == F.col("lid"), "left")
+    return j.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("lid").alias("n_labelled"), F.count_if(F.col("quality") == 0).alias("n_low"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(tx.is_blank(F.col("text"))).alias("n_empty"))
+
+
+@_query("SELECT source, median(n_chars) AS median_chars FROM documents GROUP BY source")
+def median_slice(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.median("n_chars").alias("median_chars"))
+
+
+@_query("SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def dedupe_keep_first(spark, sf_dir):
+    return segments.keep(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@_query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def dedupe_keep_last(spark, sf_dir):
+    return segments.keep(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", last=True)
+
+
+@_query("SELECT user_id, event_id, used FROM (SELECT user_id, event_id, value > 50 AS ok, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS used FROM events) WHERE ok AND used <= 3")
+def quota_running(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") > 50).alias("ok"))
+    return segments.running_quota(e, "user_id", "event_id", F.col("ok"), 3).select("user_id", "event_id", "used")
+
+
+@_query("SELECT conv_id, turn, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations WHERE trim(text) <> ''")
+def rolling_context(spark, sf_dir):
+    return segments.rolling_context(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@_query("SELECT conv_id, turn, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM conversations")
+def neighbour_context(spark, sf_dir):
+    return segments.neighbours(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@_query("""SELECT conv_id, substr(string_agg(text, '……' ORDER BY turn), 1, 600) AS digest FROM (
+  SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z FROM conversations) WHERE a <= 3 OR z <= 2 GROUP BY conv_id""")
+def head_tail_digest(spark, sf_dir):
+    return segments.head_tail(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@_query("SELECT user_id, string_agg(event_type, '；' ORDER BY event_id, event_type) AS feedback FROM events WHERE value > 80 GROUP BY user_id")
+def issue_feedback(spark, sf_dir):
+    return lint.feedback(_t(spark, sf_dir, "events").where("value > 80"), ["user_id"], "event_id", "event_type")
+
+
+@_query("SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS hits, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS false_positives, count(*) FILTER (WHERE quality = 1) AS positives, round(count(*) FILTER (WHERE quality = 1 AND toxic = 1) / count(*) FILTER (WHERE quality = 1), 6) AS recall FROM labels")
+def ab_verdict_metrics(spark, sf_dir):
+    return usage.verdict(_t(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@_query()
+def html_blocks(spark, sf_dir):
+    return html.html_blocks(_t(spark, sf_dir, "pages"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
