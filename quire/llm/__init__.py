@@ -32,4 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import op04_repeats, op10_topk
+
+    return {"op4_repeats": op04_repeats.SQL, "op10_topk": op10_topk.SQL}

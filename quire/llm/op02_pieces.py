@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -258,7 +259,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text") -> Da
     """``docs`` with ``ids`` array<int> and ``n_tokens`` long added (replaced where they exist)."""
     keep = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     src = docs.select(*keep)
-    schema = src.schema.add("ids", "array<int>").add("n_tokens", "bigint")
+    schema = T.StructType([*src.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -277,7 +278,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text") -> Da
 def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids; null ids count as none."""
     src = df.select(*[c for c in df.columns if c != out])
-    schema = src.schema.add(out, "string")
+    schema = T.StructType([*src.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator):
         import pyarrow as pa

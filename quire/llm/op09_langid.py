@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix, table, text_slices
 
@@ -215,9 +216,7 @@ def predict(docs: DataFrame, model: ByteTrees, *keep: F.Column) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     src = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     names = src.columns[:-2]
-    schema = docs.select(*keep).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double")):
-        schema = schema.add(name, kind)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator):
         import pyarrow as pa

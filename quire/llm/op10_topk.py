@@ -153,3 +153,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usable(table(spark, sf_dir, "embeddings"))
     return top_k(rows.where(F.col("id") % EVERY == 0), rows)
+
+
+SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.id <> q.id WHERE q.id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
