@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: One word, as every contract of this subpackage defines it (Java and Python dialect).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step looks at; bounds the memory of the scanning operators.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -41,6 +44,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches; then the worker, which serves further tasks, returns its free memory."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def text_slices(batch, column: str = "text", limit: int = SLICE_BYTES):
     """Cut an Arrow batch into row ranges ``(first, last, bytes, offsets)`` of about ``limit`` bytes.
 

@@ -24,13 +24,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 
 MARK = "▁"
 #: Parts of texts whose ids are kept; the cache is emptied when it is full.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 #: Pairs of pieces whose compatibility is kept.
-MAX_PAIRS = 500_000
+MAX_PAIRS = 200_000
 
 
 class Pieces:
@@ -261,6 +261,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text") -> Da
     src = docs.select(*keep)
     schema = T.StructType([*src.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -280,6 +281,7 @@ def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", out: str = "dec
     src = df.select(*[c for c in df.columns if c != out])
     schema = T.StructType([*src.schema.fields, T.StructField(out, T.StringType())])
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -297,6 +299,7 @@ DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
     """Digests of the ids and of the decoded text of each row of ``docs``; one pass, no shuffle."""
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, scan_words, shuffle_partitions, table, text_slices, word_hashes, work_dir, written
+from .common import mix, rolling, scan_words, shuffle_partitions, table, text_slices, tidy, word_hashes, work_dir, written
 
 WIDTH = 5
 PERCENT = 80
@@ -45,7 +45,7 @@ FIRST_KEYS = 4
 #: A shingle counts as frequent from so many sightings; at most FREQUENT of them steer the order.
 OFTEN = 60
 FREQUENT = 200_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 NO_ID = 1 << 62
 
 
@@ -115,6 +115,7 @@ def _named(docs: DataFrame) -> DataFrame:
 def _nodes_and_counts(docs: DataFrame) -> DataFrame:
     """Rows of kind 0: (doc_id, sig, n, point); of kind 1: shingles seen repeatedly in a slice, with counts."""
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -137,6 +138,7 @@ def _keys(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataFrame
     """(key, sig, n, early) of each set's prefix; a set is listed once a slice."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, place))
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -173,6 +175,7 @@ def _keys(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataFrame
 def _shared_keys(keys: DataFrame) -> DataFrame:
     """Rows whose key has another set of a size that could link."""
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -196,6 +199,7 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
 def _sets(texts: DataFrame) -> DataFrame:
     """(id, n, hashes) of rows (id, sig, text) whose text has the signature asked for, once each."""
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -293,6 +297,7 @@ def _groups(batches: Iterator):
 def _bounded_rows(rows: DataFrame) -> DataFrame:
     """Rows (key, id, n, early, point) that have a partner within the bound in their group, without the point."""
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -321,6 +326,7 @@ def _tree_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
     different labels.
     """
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -360,6 +366,7 @@ def _tree_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sets link."""
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 

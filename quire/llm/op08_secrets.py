@@ -25,7 +25,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -170,6 +170,7 @@ FOUND = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, digest of the base spans and all spans of each row."""
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
@@ -205,6 +206,7 @@ def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the secrets of its texts replaced; the columns stay as they are."""
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 

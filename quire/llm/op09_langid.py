@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, table, text_slices
+from .common import mix, table, text_slices, tidy
 
 ORDER = 4
 #: Bytes scored at once.
@@ -218,6 +218,7 @@ def predict(docs: DataFrame, model: ByteTrees, *keep: F.Column) -> DataFrame:
     names = src.columns[:-2]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @tidy
     def run(batches: Iterator):
         import pyarrow as pa
 
