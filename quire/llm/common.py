@@ -115,7 +115,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             down = np.full(size, _INV, np.uint64)
             down[0] = 1
             have = np.cumprod(up), np.cumprod(down)
-        if size <= 4 * SLICE_BYTES:
+        if size <= 16 << 20:
             _powers[0] = have
     return have
 
