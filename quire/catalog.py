@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import lint, segments, terms, usage
+from .operators import lint, segments, splits, terms, usage
 from .sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,6 +258,11 @@ def html_blocks(spark, sf_dir):
     return html.html_blocks(_t(spark, sf_dir, "pages"))
 
 
+@_query()
+def long_segment_split(spark, sf_dir):
+    return splits.split_long(segments.lines(_t(spark, sf_dir, "documents"), "doc_id"), "source", 1200)
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 
