@@ -34,10 +34,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, as often as it takes them whole (rounded up)."""
-    taken = op05_mixing.mix(docs, extra=COLUMNS)
-    times = F.greatest(F.lit(1), F.round(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
-    return taken.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+    """Whole copies of documents, none too, so that each source has the words the mix takes of it."""
+    taken = op05_mixing.mix(docs, extra=COLUMNS, whole=True).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

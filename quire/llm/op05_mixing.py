@@ -14,6 +14,11 @@ number of buckets per source in proportion to its rows, so no window holds a who
 Size: words of the text (null: 0). A null source is a source, last in order. Documents of the same
 id and text are interchangeable; a null doc_id hashes like any value. One row a source is held on
 the driver. No documents: no rows.
+
+Whole copies (``whole``): the shares taken / size of a bucket's documents are summed in the order of
+their sizes, from a seeded start below 1; a document has as many copies as whole numbers lie in its
+step. So copies are taken / size on average, and as neighbours in the sum are of like size, a
+bucket's copied words differ from its taken ones by a document or two.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ BLOCK = 16
 MIX_SHARDS = 8
 SEED = 17
 ROWS_PER_BUCKET = 2_000
+#: Parts of a copy that shares are counted in.
+UNIT = 1 << 32
+#: Buckets, at some dozens of bytes each, whose sums are sent to all tasks for whole copies.
+BROADCAST_BUCKETS = 200_000
 
 
 def targets(sizes: list[int], weights: list[int], total: Fraction, cap: int = CAP) -> list[Fraction]:
@@ -104,8 +113,8 @@ def plan(sizes: list[int], block: int = BLOCK, shards: int = MIX_SHARDS, weights
     return out
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int = SEED, extra: tuple = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document, then the ``extra`` columns."""
+def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int = SEED, extra: tuple = (), whole: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken (``whole``: and copies) of every document, then the ``extra`` columns."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*extra).alias("extra_") if extra else F.lit(0).alias("extra_"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"))
     totals = rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
@@ -114,9 +123,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int
     for r, p in zip(totals, plan([r["size"] for r in totals], block, shards)):
         parts, cum = [], 0
         for k, (first, n, quota) in enumerate(p["shards"]):
-            whole, rest = divmod(quota, n) if n else (0, 0)
+            passes, rest = divmod(quota, n) if n else (0, 0)
             start = hash((seed, k, 7919)) % n if n else 0
-            parts.append((first, n, whole, rest, start, cum))
+            parts.append((first, n, passes, rest, start, cum))
             cum += quota * block
         sources.append((r.source, r["size"], p["target"], max(1, r.rows // ROWS_PER_BUCKET), parts))
     part = "array<struct<first:bigint,n:bigint,whole:bigint,rest:bigint,start:bigint,cum:bigint>>"
@@ -130,6 +139,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("bs"), F.col("bucket").alias("bb"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    if whole and sum(s[3] for s in sources) <= BROADCAST_BUCKETS:  # the rows stay where their buckets are
+        sums = F.broadcast(sums)
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("bs")) & (F.col("bucket") == F.col("bb")))
     rows = rows.withColumn("b", F.col("ahead") + F.col("end")).withColumn("a", F.col("b") - F.col("size"))
 
@@ -145,6 +156,13 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int
 
     taken = F.when(F.col("size") > 0, F.expr(f"{below('b')} - {below('a')}")).otherwise(F.lit(0))
     found = ("doc_id", "size", "source_size", "target")
+    if whole:
+        rows = rows.withColumn("taken", taken.cast("bigint"))
+        rows = rows.withColumn("share", F.when(F.col("size") > 0, F.expr(f"cast(round(cast(taken AS decimal(20, 0)) * {UNIT} / size) AS bigint)")).otherwise(F.lit(0)))
+        start = F.pmod(F.xxhash64(F.lit(seed), "source", "bucket"), F.lit(UNIT))
+        upto = start + F.sum("share").over(Window.partitionBy("source", "bucket").orderBy("size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("upto", upto).withColumn("copies", F.expr(f"upto div {UNIT} - (upto - share) div {UNIT}"))
+        taken, found = F.col("taken"), (*found, "copies")
     return rows.select(*found, taken.cast("bigint").alias("taken"), *[F.col(f"extra_.{c}") for c in extra if c not in found])
 
 
