@@ -20,11 +20,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group."""
+    """One row of each group of near copies: the smallest id, null last, and of equal ids any one row.
+
+    Groups are of rows, not ids: rows are numbered and written first, so the numbers hold in every
+    later read, and repeated or null ids are rows like any other. Texts without a shingle all stay.
+    """
     ship(spark)
-    groups = op06_jaccard.link_components(docs)
-    stay = groups.where((F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    return docs.join(stay.select("doc_id").where("doc_id IS NOT NULL").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    rows = written(docs.select(*COLUMNS).withColumn("row_", F.monotonically_increasing_id()), f"{work_dir(spark)}/rows")
+    groups = op06_jaccard.link_components(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_"))
+    stay = groups.join(rows.select("row_", "doc_id"), "row_").groupBy("component_id").agg(least.alias("m")).select("m.row_")
+    return rows.join(stay.hint("shuffle_hash"), "row_", "left_semi").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,13 @@ def test_mixing_meets_the_targets(spark):
     assert all(abs(got[s] - target[s]) <= 2 * 350 for s in order), {s: (got[s], target[s]) for s in order}
     assert abs(sum(got.values()) - 1.5 * sum(size.values())) < 0.03 * sum(size.values())
     assert 0 < len(copies) < 1200 and max(copies.values()) == 2
+
+
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(6)
+    text = lambda: " ".join(f"w{r.randrange(900)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(5, a, "s"), (5, a, "s"), (3, a + " end", "s"), (None, a, "s"), (None, b, "s"), (7, c, "s"), (7, d, "s"), (2, d, "s"), (None, e, "s"), (None, e, "s"), (8, e + " x", None), (9, "", "s"), (9, "", "s"), (None, None, "s")]
+    got = [(x.doc_id, x.text) for x in cp.distinct_texts(spark, frame(spark, rows), "").collect()]
+    want = [(3, a + " end"), (None, b), (7, c), (2, d), (8, e + " x"), (9, ""), (9, ""), (None, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
