@@ -7,9 +7,8 @@ Kind ``guess``: a value that stands after a credential word and a separator. Dyn
 over its prefixes finds the cheapest segmentation into known words, dates, repeats, keyboard walks
 and brute-force spans; a segmentation of k parts costs the product of its parts' guesses times k!
 plus MIN_PARTS ** (k - 1), as an attacker has to order the parts. A value whose cheapest cost reaches
-``MIN_LOG10`` digits is a secret. Values that touch a base span are left to it. Values over
-``MAX_VALUE`` characters are judged as brute force only for what exceeds it: their length alone
-decides.
+``MIN_LOG10`` digits is a secret. Values that touch a base span are left to it. Values are judged
+whole, whatever their length; the unit of a repeat may have any length and costs what it costs itself.
 
 Null and empty texts have no spans: counts 0, the hash of the empty text, spans ''. Repeated rows
 each get a row; whole texts are read, in one pass without a shuffle.
@@ -20,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,8 +40,9 @@ CONTEXT = re.compile(
 )
 #: Digits of guesses from which a value counts as a secret.
 MIN_LOG10 = 10.0
-MAX_VALUE = 64
 MIN_PARTS = 10_000.0
+#: Four parts need 12 digits at least for their order alone, a secret by any tried limit; more are not told apart.
+MOST_PARTS = 4
 
 # Frequent passwords and words, by rank.
 WORDS = """password 123456 qwerty letmein admin welcome login dragon master monkey shadow sunshine
@@ -50,6 +51,7 @@ guest user default changeme example sample token null none true false undefined
 and for with this that from have name value string key love money summer winter spring autumn monday
 friday january february march april june july august september october november december""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?\d\d?[-/._]?\d\d?)?|\d\d?[-/._]\d\d?[-/._](?:19|20)?\d\d")
@@ -63,70 +65,140 @@ def _neighbours() -> dict[str, set[str]]:
 NEAR = _neighbours()
 
 
-def _parts(v: str) -> dict[int, list[tuple[int, float]]]:
-    """Cheap spans that end at a position: (start, log10 of guesses)."""
+def _same(v: str, a: int, b: int) -> int:
+    """Length of the longest common start of v[a:] and v[b:]; a < b."""
+    n, size, got = len(v), 16, 0
+    while b + got < n and v[a + got : a + got + size] == v[b + got : b + got + size]:
+        got += min(size, n - b - got)
+        size *= 2
+    while size > 1:
+        size //= 2
+        if b + got + size <= n and v[a + got : a + got + size] == v[b + got : b + got + size]:
+            got += size
+    return got
+
+
+def repeats(v: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit length) of the longest stretches that repeat a unit of any length twice or more.
+
+    A stretch with unit u holds two neighbours of the places 0, u, 2u, ..., which agree around; so
+    n / u places are looked at for each u. Places inside a stretch whose unit divides u are passed by.
+    """
+    n, back = len(v), v[::-1]
+    out: dict[tuple[int, int, int], None] = {}
+    live: list[tuple[int, int, int]] = []
+    for u in range(1, n // 2 + 1):
+        live = [r for r in live if r[1] - r[0] > u]
+        known = [r for r in live if u % r[2] == 0]
+        p = 0
+        while p + u < n:
+            inside = max((e for s, e, _ in known if s <= p and p + u < e), default=0)
+            if inside:
+                p = max(p + u, (inside - u) // u * u)
+                if p + u < inside:
+                    p += u
+                continue
+            end = p + u + _same(v, p, p + u)
+            start = p - _same(back, n - p - u, n - p) if p else 0
+            if end - start >= 2 * u:
+                if (start, end, u) not in out:
+                    out[start, end, u] = None
+                    live.append((start, end, u))
+                p = max(p + u, (end - u) // u * u)
+                if p + u < end:
+                    p += u
+            else:
+                p += u
+    return list(out)
+
+
+def _ends(n: int, goes_on) -> list[int]:
+    """End of the longest span from each place whose neighbours i, i + 1 all pass ``goes_on(i)``."""
+    out = list(range(1, n + 1))
+    for i in range(n - 2, -1, -1):
+        if goes_on(i):
+            out[i] = out[i + 1]
+    return out
+
+
+def _spans(v: str):
+    """For each place, the cheap spans that start there: (end, log10 of guesses)."""
     n = len(v)
-    low = v.lower()
+    # Lower case and leet letters one by one: places stay as they are.
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
     plain = low.translate(LEET)
-    out: dict[int, list[tuple[int, float]]] = {}
+    code = [ord(c) for c in v]
+    lows = [ord(c) for c in low]
+    equal = _ends(n, lambda i: v[i] == v[i + 1])
+    walk = _ends(n, lambda i: low[i + 1] in NEAR.get(low[i], ()))
+    rise, fall = _ends(n, lambda i: code[i + 1] - code[i] == 1), _ends(n, lambda i: code[i + 1] - code[i] == -1)
+    turns = [0] * (n + 1)  # turns before a place
+    for j in range(n):
+        turns[j + 1] = turns[j] + (j > 1 and lows[j] - lows[j - 1] != lows[j - 1] - lows[j - 2])
+    runs = sorted((r for r in repeats(v) if r[2] > 1), reverse=True)
+    active: list[tuple[int, int, int]] = []
+    for i in range(n):
+        out: list[tuple[int, float]] = []
 
-    def add(i: int, j: int, guesses: float) -> None:
-        out.setdefault(j, []).append((i, math.log10(max(guesses, 2))))
+        def add(j: int, guesses: float) -> None:
+            out.append((j, math.log10(max(guesses, 2))))
 
-    for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = RANK.get(low[i:j]) or (RANK.get(plain[i:j]) or 0) * 4
             if rank:
                 upper = sum(c.isupper() for c in v[i:j])
-                add(i, j, rank * (1 if not upper else 2 if upper in (1, j - i) else 2 ** min(upper, j - i - upper, 10)))
+                add(j, rank * (1 if not upper else 2 if upper in (1, j - i) else 2 ** min(upper, j - i - upper, 10)))
         m = DATE.match(v, i)
         if m:
-            add(i, m.end(), 365.0 * (120 if m.end() - i > 4 else 0.33) * (4 if not m.group().isdigit() else 1))
-        j = i + 1
-        while j < n and v[j] == v[i]:
-            j += 1
+            add(m.end(), 365.0 * (120 if m.end() - i > 4 else 0.33) * (4 if not m.group().isdigit() else 1))
+        if equal[i] - i >= 3:
+            add(equal[i], 12.0 * (equal[i] - i))
+        while runs and runs[-1][0] <= i:
+            active.append(runs.pop())
+        active = [r for r in active if r[1] - i >= 2 * r[2]]
+        for _, e, u in active:
+            times = (e - i) // u
+            unit = min(float(u), guess_log10(v[i : i + u])) if u > 2 else float(u)
+            out.append((i + times * u, unit + math.log10(times)))
+        j = walk[i]
         if j - i >= 3:
-            add(i, j, 12.0 * (j - i))
-        for size in (2, 3, 4):
-            k = i + size
-            while v[k : k + size] == v[i : i + size] and k + size <= n:
-                k += size
-            if k - i >= 2 * size:
-                add(i, k, 10.0**size * (k - i) / size)
-        j = i + 1
-        turns = 0
-        while j < n and low[j] in NEAR.get(low[j - 1], ()):
-            turns += j > i + 1 and ord(low[j]) - ord(low[j - 1]) != ord(low[j - 1]) - ord(low[j - 2])
-            j += 1
+            add(j, 47.0 * (j - i) * 4.0 ** min(turns[j] - turns[i + 2], 20))
+        j = max(rise[i], fall[i])
         if j - i >= 3:
-            add(i, j, 47.0 * (j - i) * 4.0 ** min(turns, 20))
-        j = i + 1
-        step = ord(v[j]) - ord(v[i]) if j < n else 0
-        while step in (1, -1) and j < n and ord(v[j]) - ord(v[j - 1]) == step:
-            j += 1
-        if j - i >= 3:
-            add(i, j, 20.0 * (j - i))
-    return out
+            add(j, 20.0 * (j - i))
+        yield out
 
 
 @lru_cache(maxsize=20_000)
 def guess_log10(value: str) -> float:
-    """Digits of the number of guesses that the cheapest segmentation needs."""
-    over = max(0, len(value) - MAX_VALUE)
-    v = value[:MAX_VALUE]
-    n = len(v)
+    """Digits of the number of guesses that the cheapest segmentation into at most MOST_PARTS parts needs.
+
+    Time is in proportion to the length but for the search of repeats (n log n): each place has few
+    cheap spans, and of all brute-force spans that end at a place only the best start counts, one
+    number for each count of parts.
+    """
+    n = len(value)
     if not n:
         return 0.0
-    cheap = _parts(v)
-    best: list[dict[int, float]] = [{0: 0.0}] + [{} for _ in range(n)]  # by position: number of parts -> log10 of the product
-    for j in range(1, n + 1):
-        options = cheap.get(j, []) + [(i, float(j - i)) for i in range(j)]
-        for i, cost in options:
-            for k, before in best[i].items():
-                if k < 12 and before + cost < best[j].get(k + 1, math.inf):
-                    best[j][k + 1] = before + cost
-    total = min(max(c + math.lgamma(k + 1) / math.log(10), (k - 1) * math.log10(MIN_PARTS)) for k, c in best[n].items())
-    return total + over
+    best = [array("d", [math.inf]) * (n + 1) for _ in range(MOST_PARTS + 1)]  # by parts and place: log10 of the product
+    best[0][0] = 0.0
+    brute = [math.inf] * MOST_PARTS  # least of best[k][i] - i so far
+    spans = _spans(value)
+    for i in range(n + 1):
+        for k in range(MOST_PARTS):
+            if brute[k] + i < best[k + 1][i]:
+                best[k + 1][i] = brute[k] + i
+        if i == n:
+            break
+        out = next(spans)
+        for k in range(MOST_PARTS):
+            before = best[k][i]
+            if before < math.inf:
+                brute[k] = min(brute[k], before - i)
+                for j, cost in out:
+                    if before + cost < best[k + 1][j]:
+                        best[k + 1][j] = before + cost
+    return min(max(best[k][n] + math.lgamma(k + 1) / math.log(10), (k - 1) * math.log10(MIN_PARTS)) for k in range(1, MOST_PARTS + 1))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

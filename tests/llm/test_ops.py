@@ -192,6 +192,28 @@ def test_op8():
     assert o8.guess_log10("password") < 3 < o8.guess_log10("2024-01-02") < o8.guess_log10("x9#kQ2!vLp0")
 
 
+def test_op8_long_values_are_judged_whole():
+    for v in ("*" * 80, "_" * 5000, "x7Kp9" * 3, "x7Kp9" * 40, "password" * 30, "qwertyuiop" * 12, "2024-01-02" * 9):
+        assert o8.guess_log10(v) < o8.MIN_LOG10, v
+        assert o8.redacted(f"pwd: {v}") == f"pwd: {v}"
+    r = random.Random(8)
+    for n in (12, 80, 3000):
+        assert o8.guess_log10("".join(r.choice("abcdefgHIJKLMN0123456789!#") for _ in range(n))) >= o8.MIN_LOG10
+
+
+def test_op8_repeats_by_brute_force():
+    r = random.Random(9)
+    for _ in range(600):
+        v = "".join(r.choice("ab" if r.random() < 0.7 else "abc") for _ in range(r.randint(1, 28)))
+        got = o8.repeats(v)
+        n = len(v)
+        for u in range(1, n // 2 + 1):
+            for i in range(n - 2 * u + 1):
+                if v[i : i + u] == v[i + u : i + 2 * u]:
+                    assert any(s <= i and i + 2 * u <= e and u % w == 0 for s, e, w in got), (v, i, u, got)
+        assert all(v[s : e - u] == v[s + u : e] and e - s >= 2 * u for s, e, u in got) and len(set(got)) == len(got)
+
+
 def test_op8_rows(docs, none):
     assert o8.scan(docs).count() == docs.count() and o8.scan(none).count() == 0
 
