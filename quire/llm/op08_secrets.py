@@ -10,8 +10,15 @@ plus MIN_PARTS ** (k - 1), as an attacker has to order the parts. A value whose
 ``MIN_LOG10`` digits is a secret. Values that touch a base span are left to it. Values are judged
 whole, whatever their length; the unit of a repeat may have any length and costs what it costs itself.
 
+Known words are those of ``WORDS`` and, in any language, the words of the corpus itself: a run of
+letters that stands outside such values in ``MIN_DOCS`` documents or more costs the number of all
+(document, word) pairs over its own, which no smaller rank can exceed. Only words of values that are
+secrets without them are counted: one pass over the texts finds these, one counts them (a bitmap of
+fixed size leaves out most others, a join the rest), the third judges. The words that are both asked
+for and seen often enough are held by each task, an entry a word.
+
 Null and empty texts have no spans: counts 0, the hash of the empty text, spans ''. Repeated rows
-each get a row; whole texts are read, in one pass without a shuffle.
+each get a row; whole texts are read, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -19,13 +26,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import table, tidy, work_dir, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -52,6 +62,12 @@ and for with this that from have name value string key love money summer winter
 friday january february march april june july august september october november december""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+#: Documents that hold a word outside credential values, from which it counts as a word.
+MIN_DOCS = 2
+BITMAP = 1 << 22
+#: Words a task counts before it passes the counts on.
+FLUSH = 100_000
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?\d\d?[-/._]?\d\d?)?|\d\d?[-/._]\d\d?[-/._](?:19|20)?\d\d")
@@ -121,7 +137,19 @@ def _ends(n: int, goes_on) -> list[int]:
     return out
 
 
-def _spans(v: str):
+def _cased(word: str) -> float:
+    """Times the guesses of a word for its capitals."""
+    upper = sum(c.isupper() for c in word)
+    return 1 if not upper else 2 if upper in (1, len(word)) else 2 ** min(upper, len(word) - upper, 10)
+
+
+def word_spans(v: str, known: dict[str, float]) -> tuple[tuple[int, int, float], ...]:
+    """(start, end, log10 of guesses) of the known words among a value's runs of letters."""
+    runs = ((m, known.get(m.group().lower())) for m in LETTERS.finditer(v)) if known else ()
+    return tuple((*m.span(), cost + math.log10(_cased(m.group()))) for m, cost in runs if cost is not None)
+
+
+def _spans(v: str, words: tuple = ()):
     """For each place, the cheap spans that start there: (end, log10 of guesses)."""
     n = len(v)
     # Lower case and leet letters one by one: places stay as they are.
@@ -137,8 +165,9 @@ def _spans(v: str):
         turns[j + 1] = turns[j] + (j > 1 and lows[j] - lows[j - 1] != lows[j - 1] - lows[j - 2])
     runs = sorted((r for r in repeats(v) if r[2] > 1), reverse=True)
     active: list[tuple[int, int, int]] = []
+    given: dict[int, tuple[int, float]] = {i: (j, cost) for i, j, cost in words}
     for i in range(n):
-        out: list[tuple[int, float]] = []
+        out: list[tuple[int, float]] = [given[i]] if i in given else []
 
         def add(j: int, guesses: float) -> None:
             out.append((j, math.log10(max(guesses, 2))))
@@ -146,8 +175,7 @@ def _spans(v: str):
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = RANK.get(low[i:j]) or (RANK.get(plain[i:j]) or 0) * 4
             if rank:
-                upper = sum(c.isupper() for c in v[i:j])
-                add(j, rank * (1 if not upper else 2 if upper in (1, j - i) else 2 ** min(upper, j - i - upper, 10)))
+                add(j, rank * _cased(v[i:j]))
         m = DATE.match(v, i)
         if m:
             add(m.end(), 365.0 * (120 if m.end() - i > 4 else 0.33) * (4 if not m.group().isdigit() else 1))
@@ -170,7 +198,7 @@ def _spans(v: str):
 
 
 @lru_cache(maxsize=20_000)
-def guess_log10(value: str) -> float:
+def guess_log10(value: str, words: tuple = ()) -> float:
     """Digits of the number of guesses that the cheapest segmentation into at most MOST_PARTS parts needs.
 
     Time is in proportion to the length but for the search of repeats (n log n): each place has few
@@ -183,7 +211,7 @@ def guess_log10(value: str) -> float:
     best = [array("d", [math.inf]) * (n + 1) for _ in range(MOST_PARTS + 1)]  # by parts and place: log10 of the product
     best[0][0] = 0.0
     brute = [math.inf] * MOST_PARTS  # least of best[k][i] - i so far
-    spans = _spans(value)
+    spans = _spans(value, words)
     for i in range(n + 1):
         for k in range(MOST_PARTS):
             if brute[k] + i < best[k + 1][i]:
@@ -212,8 +240,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]], least: float = MIN_LOG10) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, base: list[tuple[int, int, int]], known: dict[str, float] = {}, least: float = MIN_LOG10) -> list[tuple[int, int, int]]:  # noqa: B006
     """Values in credential contexts that the base kinds leave and that cost enough guesses."""
+    out = []
+    for i, j in values(text):
+        if any(a < j and b > i for a, _, b in base) or guess_log10(text[i:j]) < least:
+            continue
+        words = word_spans(text[i:j], known)
+        if not words or guess_log10(text[i:j], words) >= least:
+            out.append((i, 3, j))
+    return out
+
+
+def values(text: str) -> list[tuple[int, int]]:
+    """Spans of the values in credential contexts."""
     if not (":" in text or "=" in text or " is " in text or " IS " in text or " Is " in text):
         return []
     out = []
@@ -222,14 +262,83 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], least: float = MIN_
         i, j = m.span(group)
         while j > i and text[j - 1] in ".,;:!?)]}":
             j -= 1
-        if j > i and not any(a < j and b > i for a, _, b in base) and guess_log10(text[i:j]) >= least:
-            out.append((i, 3, j))
+        if j > i:
+            out.append((i, j))
     return out
 
 
-def all_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def all_spans(text: str | None, known: dict[str, float] = {}) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:  # noqa: B006
     base = base_spans(text or "")
-    return base, sorted(base + guess_spans(text or "", base))
+    return base, sorted(base + guess_spans(text or "", base, known))
+
+
+def _bit(word: str) -> int:
+    return zlib.crc32(word.encode()) % BITMAP
+
+
+def asked_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Distinct words of the values that are secrets as long as no word of the corpus is known, with their bits."""
+
+    @tidy
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = set()
+            for t in batch.column(0).to_pylist():
+                for i, _, j in guess_spans(t or "", base_spans(t or "")):
+                    found.update(w.lower() for w in LETTERS.findall(t[i:j]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([_bit(w) for w in found], pa.int32())], names=["word", "bit"])
+
+    return docs.select(text).mapInArrow(run, "word string, bit int").distinct()
+
+
+def known_words(docs: DataFrame, text: str = "text") -> dict[str, float]:
+    """log10 of the guesses of the corpus's own words, as far as its values ask for them."""
+    here = work_dir(docs.sparkSession)
+    asked = written(asked_words(docs, text), f"{here}/asked")
+    bits = asked.select("bit").distinct().toArrow().column("bit").to_numpy()
+    if not len(bits):
+        return {}
+    import numpy as np
+
+    bitmap = np.zeros(BITMAP, bool)
+    bitmap[bits] = True
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
+
+    @tidy
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        marks = held.value
+
+        def rows(seen: Counter):
+            found = [(w, n) for w, n in seen.items() if marks[(b := _bit(w)) >> 3] & (128 >> (b & 7))]
+            cols = [w for w, _ in found] + [None], [n for _, n in found] + [seen.total()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["word", "n"])
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if not t:
+                    continue
+                at, rest = 0, []
+                for i, j in values(t):
+                    rest.append(t[at:i])
+                    at = j
+                seen.update(set(LETTERS.findall("\n".join([*rest, t[at:]]).lower())))
+                if len(seen) > FLUSH:
+                    yield rows(seen)
+                    seen = Counter()
+        yield rows(seen)
+
+    counts = docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = F.when(F.col("word").isNull(), F.col("n"))
+    counts = written(counts.join(asked.select(F.col("word").alias("w")), F.col("word") == F.col("w"), "left").where("word IS NULL OR w IS NOT NULL").drop("w"), f"{here}/counts")
+    every = counts.agg(F.max(total)).first()[0] or 1
+    held.unpersist()
+    often = counts.where((F.col("n") >= MIN_DOCS) & F.col("word").isNotNull()).toArrow().to_pydict()
+    return {w: math.log10(max(every / n, 2)) for w, n in zip(often["word"], often["n"])}
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -241,6 +350,7 @@ FOUND = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha
 
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, digest of the base spans and all spans of each row."""
+    held = docs.sparkSession.sparkContext.broadcast(known_words(docs))
 
     @tidy
     def run(batches: Iterator):
@@ -251,7 +361,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 b = batch.slice(at, 512)
                 rows = []
                 for text in b.column(1).to_pylist():
-                    base, spans = all_spans(text)
+                    base, spans = all_spans(text, held.value)
                     kinds = [k for _, k, _ in base]
                     rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
                 cols = list(zip(*rows)) or [()] * 5
@@ -263,12 +373,12 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, FOUND)
 
 
-def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redacted(text: str | None, mark: str = "[SECRET]", known: dict[str, float] = {}) -> str | None:  # noqa: B006
     """``text`` with each maximal run of overlapping spans replaced."""
     if not text:
         return text
     out, end = [], 0
-    for i, _, j in all_spans(text)[1]:
+    for i, _, j in all_spans(text, known)[1]:
         if i >= end:
             out += [text[end:i], mark]
         end = max(end, j)
@@ -277,6 +387,7 @@ def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the secrets of its texts replaced; the columns stay as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(known_words(docs, text))
 
     @tidy
     def run(batches: Iterator):
@@ -286,7 +397,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             at = batch.schema.get_field_index(text)
             for i in range(0, batch.num_rows, 512):
                 b = batch.slice(i, 512)
-                new = pa.array([redacted(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
+                new = pa.array([redacted(t, known=held.value) for t in b.column(at).to_pylist()], b.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(b.columns)], schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)

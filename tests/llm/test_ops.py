@@ -214,6 +214,18 @@ def test_op8_repeats_by_brute_force():
         assert all(v[s : e - u] == v[s + u : e] and e - s >= 2 * u for s, e, u in got) and len(set(got)) == len(got)
 
 
+def test_op8_leaves_words_of_prose(spark):
+    clean = ["The secret is perseverance.", "the token is authentication", "auth: Benutzerverwaltung", "la passphrase: confidentialité", "The secret is green-houses"]
+    prose = ["Perseverance and authentication, Benutzerverwaltung; confidentialité. green houses"] * 2
+    dirty = ["The secret is kqzvxwpjtrmn.", "pwd: h!X9#qLm2@z", "the token is kqzvxwpjtrmn"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(clean + dirty + prose)] + [(99, None)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in o8.scan(d).collect()}
+    assert [got[i] for i in range(len(clean))] == [""] * len(clean)
+    assert all("guess" in got[i] for i in range(len(clean), len(clean) + len(dirty)))
+    out = {r.text for r in o8.redact(d).collect()}
+    assert set(clean) <= out and not set(dirty) & out and None in out
+
+
 def test_op8_rows(docs, none):
     assert o8.scan(docs).count() == docs.count() and o8.scan(none).count() == 0
 
