@@ -50,8 +50,8 @@ def contained(docs: DataFrame, terms: DataFrame, doc_key: str, text: str, term_k
     """(document, term) where the lower-case term is a substring of the lower-case text.
 
     Up to ``MAX_TERMS`` terms go to an Aho-Corasick automaton in every task: one pass over the texts,
-    whatever the number of terms. Beyond that, a join on the first five-character piece that the term
-    and the text share narrows the pairs.
+    whatever the number of terms. Beyond that, a join on the first five characters of the
+    term (all of a shorter one) and the pieces of that length in the text narrows the pairs.
     """
     n = terms.count()
     small = terms.where(F.length(term) > 0).select(term_key, F.lower(term).alias("t"))
@@ -80,8 +80,11 @@ def contained(docs: DataFrame, terms: DataFrame, doc_key: str, text: str, term_k
                 yield pd.DataFrame(rows, columns=[doc_key, term_key])
 
         return docs.select(doc_key, F.lower(text).alias("t")).mapInPandas(run, schema)
-    grams = docs.select(doc_key, F.lower(text).alias("x")).withColumn("g", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, length(x) - 4)), i -> substring(x, i, 5)))")))
-    hit = grams.join(small.withColumn("g", F.substring("t", 1, 5)), "g").where(F.col("x").contains(F.col("t")))
+    small = small.withColumn("g", F.substring("t", 1, 5))
+    sizes = sorted(r[0] for r in small.select(F.length("g")).distinct().collect())  # 1 to 5
+    pieces = ", ".join(f"transform(sequence(1, greatest(1, length(x) - {n - 1})), i -> substring(x, i, {n}))" for n in sizes)
+    grams = docs.select(doc_key, F.lower(text).alias("x")).withColumn("g", F.explode(F.expr(f"array_distinct(flatten(array({pieces})))")))
+    hit = grams.join(small, "g").where(F.col("x").contains(F.col("t")))
     return hit.select(doc_key, term_key).distinct()
 
 

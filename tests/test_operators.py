@@ -44,6 +44,16 @@ def test_contained_by_both_ways(spark, monkeypatch):
     assert {tuple(r) for r in terms.contained(d, t, "d", "text", "k", "term").collect()} == want
 
 
+def test_contained_finds_short_terms_both_ways(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "An Artful party"), (2, None), (3, "art"), (4, ""), (5, "日本語の本")], "d long, text string")
+    t = spark.createDataFrame(list(enumerate(["a", "rt", "art", "Part", "artful", "y", "本", "日本", "absent", "", "zz"])), "k long, term string")
+    find = lambda: sorted(tuple(r) for r in terms.contained(d, t, "d", "text", "k", "term").collect())
+    want = find()
+    assert {(1, 0), (3, 1), (1, 2), (1, 3), (5, 6), (5, 7)} <= set(want)
+    monkeypatch.setattr(terms, "MAX_TERMS", 0)
+    assert find() == want
+
+
 def test_blocks_are_outermost():
     title, blocks = blocks_of("<title>T</title><h1>A</h1><p>x <b>y</b></p><ul><li>one<p>in</p></li><li>two</li></ul><script>p</script>")
     assert title == "A" and blocks == [("h1", "A"), ("p", "x y"), ("li", "onein"), ("li", "two")]
