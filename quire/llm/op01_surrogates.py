@@ -5,14 +5,17 @@ phone numbers, and names after a title (whose gender the title tells). Each is r
 of the same shape, drawn from a keyed hash of its canonical form (lower case; digits alone for
 numbers), so all mentions of one entity, however written, receive the same surrogate:
 
-* digits become digits, vowels vowels, consonants consonants, in Latin or Cyrillic; punctuation,
-  length and case stay; an address keeps its top-level domain, a card its first digit, a name its
+* digits become digits, vowels vowels, consonants consonants, plain Latin, accented Latin, Cyrillic,
+  Greek, Armenian and Georgian each among themselves, other letters a to z; punctuation, length and
+  case stay; an address keeps its top-level domain, a card its first digit, a name its
   last letter (which marks gender in many languages) and its title;
 * an IPv4 part becomes a number from 1 to 254.
 
 Collision checks run over the whole corpus on the table of distinct entities: a surrogate that two
 entities of a kind share, or that is itself an entity of the corpus, is drawn again with a higher
-attempt number, until none is left. The few entities with an attempt above 0 are looked up from
+attempt number, until none is left. Where ``MAX_ROUNDS`` draws of one shape found none free, each
+further one has two letters or a digit more, so shapes do not run out; only an IPv4 address has no
+longer shape, and the query fails if ``IP_ROUNDS`` draws find none. The few entities with an attempt above 0 are looked up from
 small broadcast maps (``MAP_ROWS`` rows each, as many maps as needed); all others follow from the
 key alone, so texts are never shuffled and no mapping of the corpus is collected.
 
@@ -21,7 +24,7 @@ Null texts stay null with no entities. Repeated rows each get a row. Built-in fu
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +34,10 @@ from .common import table, work_dir, written
 KEY = "quire-surrogate-key"
 #: Exceptions a broadcast map holds: about 60 bytes each.
 MAP_ROWS = 50_000
+#: Draws within the shape of the entity; the next ones have a longer shape.
 MAX_ROUNDS = 12
+#: Draws of an IPv4 address, whose shape is fixed: 254 ** 4 values.
+IP_ROUNDS = 100
 
 # Titles and the gender they tell.
 TITLES = {"m": "Mr Herr Monsieur Señor Sr Don Господин", "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Srta Doña Госпожа", "n": "Dr Prof"}
@@ -63,7 +69,30 @@ def _canon(kind: str, e: str) -> str:
 
 
 # Letters that replace each other.
-_CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
+_SAME = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
+#: (letters, what they become); letters whose case or end form is irregular are never drawn.
+_CLASSES = (
+    *zip(_SAME, _SAME),
+    ("àáâãäåāăąæèéêëēĕėęěìíîïĩīĭįıòóôõöøōŏőœùúûüũūŭůűųýÿ", "àáâãäåèéêëìíîïòóôõöøùúûü"),
+    ("çćĉċčďđðĝğġģĥħĵķĺļľłñńņňŕŗřśŝşšșßťţțþŵźżž", "çćčďłñńňřśšťźž"),
+    ("ёіїєўѐѝ", "ёіїє"),
+    ("йґђѓѕјљњћќџъь", "йґђјљњћџ"),
+    ("αάεέηήιίϊΐοόυύϋΰωώ", "αάεέηήιίοόυύωώ"),
+    ("βγδζθκλμνξπρσςτφχψ", "βγδζθκλμνξπρτφχψ"),
+    ("աեէըիոօ", "աեէըիոօ"),
+    ("բգդզթժլխծկհձղճմյնշչպջռսվտրցւփքֆև", "բգդզթժլխծկհձղճմյնշչպջռսվտրցփքֆ"),
+    ("აეიოუ", "აეიოუ"),
+    ("ბგდვზთკლმნპჟრსტფქღყშჩცძწჭხჯჰ", "ბგდვზთკლმნპჟრსტფქღყშჩცძწჭხჯჰ"),
+)
+#: What letters of any other script become.
+_OTHER = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _longer(kind: str, e: str, attempt: str) -> str:
+    """SQL of ``e``, from attempt MAX_ROUNDS on with more places to draw, so that no shape runs out."""
+    more = f"cast({attempt} AS int) - {MAX_ROUNDS - 1}"
+    name = f"concat(substring({e}, 1, length({e}) - 1), repeat(IF({e} = upper({e}), 'AN', 'an'), {more}), substring({e}, length({e}), 1))"
+    return f"CASE WHEN {kind} = 'ip' OR {more} < 1 THEN {e} WHEN {kind} = 'name' THEN {name} WHEN {kind} = 'email' THEN concat(repeat('an', {more}), {e}) ELSE concat({e}, repeat('0', {more})) END"
 
 
 def _draw(kind: str, canon: str, e: str, attempt: str) -> str:
@@ -72,7 +101,8 @@ def _draw(kind: str, canon: str, e: str, attempt: str) -> str:
     bytes_ = "concat(" + ", ".join(f"sha2(concat({{seed}}, '{i}'), 256)" for i in range(6)) + ")"
     bytes_ = bytes_.format(seed=seed)
     at = "int(conv(substring(h, pmod(acc.k, 96) * 4 + 1, 4), 16, 10))"
-    pick = "CASE " + " ".join(f"WHEN locate(lower(c), '{cl}') > 0 THEN substring('{cl}', pmod({at}, {len(cl)}) + 1, 1)" for cl in _CLASSES) + " END"
+    pick = "CASE " + " ".join(f"WHEN locate(lower(c), '{cl}') > 0 THEN substring('{to}', pmod({at}, {len(to)}) + 1, 1)" for cl, to in _CLASSES)
+    pick += rf" WHEN ascii(c) > 127 AND c rlike r'^\pL$' THEN substring('{_OTHER}', pmod({at}, {len(_OTHER)}) + 1, 1) END"
     step = f"transform(array({pick}), r -> IF(r IS NULL, struct(concat(acc.s, c) AS s, acc.k AS k), struct(concat(acc.s, IF(c = lower(c), r, upper(r))) AS s, acc.k + 1 AS k)))[0]"
     walk = f"aggregate(split({{body}}, ''), struct('' AS s, {{k}} AS k), (acc, c) -> {step}, acc -> acc.s)"
     plain = walk.format(body="e", k="0")
@@ -82,7 +112,7 @@ def _draw(kind: str, canon: str, e: str, attempt: str) -> str:
     iban = f"concat(substring(e, 1, 2), {walk.format(body='substring(e, 3)', k='0')})"
     ip = "concat_ws('.', transform(sequence(0, 3), i -> string(pmod(int(conv(substring(h, i * 4 + 1, 4), 16, 10)), 254) + 1)))"
     body = f"CASE {kind} WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'iban' THEN {iban} WHEN 'ip' THEN {ip} WHEN 'name' THEN {tail('1')} ELSE {plain} END"
-    return f"transform(array({e}), e -> transform(array({bytes_}), h -> {body})[0])[0]"
+    return f"transform(array({_longer(kind, e, attempt)}), e -> transform(array({bytes_}), h -> {body})[0])[0]"
 
 
 def _entities(found: str) -> str:
@@ -107,7 +137,7 @@ def exceptions(entities: DataFrame) -> DataFrame:
     draw = lambda df: df.withColumn("s", F.expr(_canon("kind", f"({_draw('kind', 'canon', 'form', 'attempt')})")))
     state = draw(entities.withColumn("attempt", F.lit(0)))
     settled = None
-    for n in range(MAX_ROUNDS):
+    for n in count():
         taken = state if settled is None else settled.unionByName(state)
         rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "canon"))
         seen = taken.withColumn("rank", rank).join(own, (F.col("kind") == F.col("k2")) & (F.col("s") == F.col("c2")), "left")
@@ -115,9 +145,10 @@ def exceptions(entities: DataFrame) -> DataFrame:
         again = seen.where("bad")
         if again.isEmpty():
             return seen.where("attempt > 0").select("kind", "canon", "attempt")
+        if n >= IP_ROUNDS and not again.where("kind = 'ip'").isEmpty():
+            raise ValueError(f"no free IPv4 address found for {again.count()} entities in {n + 1} draws")
         settled = seen.where("NOT bad").drop("bad")
         state = draw(again.select("kind", "canon", "form", (F.col("attempt") + 1).alias("attempt")))
-    raise ValueError(f"{again.count()} surrogates still collide after {MAX_ROUNDS} draws: too many entities for their shapes")
 
 
 def _attempts(maps: int) -> str:

@@ -69,6 +69,20 @@ def test_op1_collisions_are_redrawn(spark):
     assert len(set(out)) == 26 and not {f"mail {c}@{c}.io" for c in "abcdefghijklmnopqrstuvwxyz"} & set(out)
 
 
+def test_op1_letters_of_all_scripts_and_full_shapes(spark):
+    names = "Öz Ωνάσης Łódź Ñuñez Երևան Ðóra Ёлкин Müller Al El Il Ol Ul Ål".split()
+    d = spark.createDataFrame([(i, f"Dr {n} came") for i, n in enumerate(names)] + [(i, f"Dr {n} came") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {}
+    for r in o1.with_surrogates(d).collect():
+        got.setdefault(r.doc_id, set()).add(r.text.split()[1])
+    assert all(len(x) == 1 for x in got.values())
+    new = [x for s in got.values() for x in s]
+    assert len({x.lower() for x in new}) == len(names) and not {n.lower() for n in names} & {x.lower() for x in new}
+    for i, n in enumerate(names[:8]):
+        (x,) = got[i]
+        assert len(x) == len(n) and x[-1] == n[-1] and x[0].isupper()
+
+
 def test_op2_equals_the_library(spark, docs, none):
     import sentencepiece
 
