@@ -1,7 +1,9 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent.
 
 Entities: e-mail addresses, IPv4 addresses, card numbers, social-security and IBAN style numbers,
-phone numbers, and names after a title (whose gender the title tells). Each is replaced by a value
+phone numbers, and names after a title (whose gender the title tells): all capitalised words that
+follow, with particles and initials between (these stay), and the same words, so written or in
+capitals, wherever else they stand in that text, each mention an entity found. Each is replaced by a value
 of the same shape, drawn from a keyed hash of its canonical form (lower case; digits alone for
 numbers), so all mentions of one entity, however written, receive the same surrogate:
 
@@ -50,10 +52,14 @@ CARD = r"(?<![\w+])\d{4}(?:[ -]?\d{4}){3}(?:\d{1,3})?(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-PERSON = rf"(?=[{_FIRST}])(?<!\w)(?:{_TITLE})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?"
+# Words inside a name that stay, as do initials.
+PARTICLES = "von van de der den della di da dos das du la le ten ter zu y bin ibn al"
+_BETWEEN = rf"(?:\x20(?:(?:{'|'.join(PARTICLES.split())})(?=\x20)|\p{{Lu}}\.))*+"
+NAME = r"\p{Lu}(?:\p{L}++|(?=(?!'s(?!\p{L}))['-]\p{L}))(?:(?!'s(?!\p{L}))['-]\p{L}++)*+"
+PERSON = rf"(?=[{_FIRST}])(?<!\w)(?:{_TITLE})\.?(?:\x20(?:{_TITLE})\.?(?=\x20))*+(?:{_BETWEEN}\x20{NAME})(?:{_BETWEEN}\x20{NAME})*+"
 ANY = rf"(?=[A-Za-z\d+({_FIRST}])(?:" + "|".join((EMAIL, IP, CARD, SSN, PHONE, IBAN, PERSON)) + ")"
 #: Cheap test that a text may hold an entity.
-MAYBE = rf"@|\d[\d .()-]{{4,}}\d|(?=[{_FIRST}])(?<!\w)(?:{_TITLE})\.?\x20\p{{Lu}}"
+MAYBE = rf"@|\d[\d .()-]{{4,}}\d|(?=[{_FIRST}])(?<!\w)(?:{_TITLE})\.?\x20(?:\p{{Lu}}|(?:{'|'.join(PARTICLES.split())})\x20)"
 
 
 def _kind(e: str) -> str:
@@ -115,9 +121,14 @@ def _draw(kind: str, canon: str, e: str, attempt: str) -> str:
     return f"transform(array({_longer(kind, e, attempt)}), e -> transform(array({bytes_}), h -> {body})[0])[0]"
 
 
+def _named(w: str) -> str:
+    """SQL: whether a word of a person is a name, neither title, initial nor particle."""
+    return rf"""({w} rlike r"^\p{{Lu}}[\p{{L}}'-]+$" AND NOT {w} rlike r"^(?:{_TITLE})$")"""
+
+
 def _entities(found: str) -> str:
     """SQL: array of (kind, e) of the found strings; a name's words are entities of their own."""
-    words = "transform(slice(split(e, ' '), 2, 2), w -> struct('name' AS kind, w AS e))"
+    words = f"transform(filter(split(e, ' '), w -> {_named('w')}), w -> struct('name' AS kind, w AS e))"
     return f"flatten(transform({found}, e -> IF({_kind('e')} = 'person', {words}, array(struct({_kind('e')} AS kind, e AS e)))))"
 
 
@@ -167,17 +178,24 @@ def replace_entities(docs: DataFrame, odd: DataFrame) -> DataFrame:
         t = t.crossJoin(F.broadcast(one))  # one row
     has = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
     t = t.withColumn("f_", F.when(has, F.regexp_extract_all("text", F.lit(ANY), 0)))
+    # Names of the text's persons, whole words, wherever else they stand in it.
+    names = f"flatten(transform(filter(f_, e -> {_kind('e')} = 'person'), e -> filter(split(e, ' '), w -> {_named('w')})))"
+    names = f"transform(array({names}), n -> array_sort(array_distinct(concat(n, transform(n, w -> upper(w)))), (a, b) -> length(b) - length(a)))[0]"
+    t = t.withColumn("names_", F.expr(f"IF(size(f_) > 0, {names}, NULL)"))
+    bare = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_])(?:"), F.array_join("names_", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    t = t.withColumn("any_", F.when(F.size("names_") > 0, bare))
+    t = t.withColumn("f_", F.when(F.col("any_").isNotNull(), F.regexp_extract_all("text", F.col("any_"), 0)).otherwise(F.col("f_")))
     attempts = _attempts(maps)
 
     def one_of(kind: str, e: str) -> str:
         canon = _canon("kind", "w")
         return f"transform(array(named_struct('kind', {kind}, 'w', {e})), z -> transform(array(z.kind), kind -> transform(array(z.w), w -> transform(array({canon}), canon -> {_draw('kind', 'canon', 'w', attempts)})[0])[0])[0])[0]"
 
-    name = f"concat_ws(' ', transform(split(e, ' '), (p, i) -> IF(i = 0, p, {one_of(repr('name'), 'p')})))"
+    name = f"concat_ws(' ', transform(split(e, ' '), p -> IF({_named('p')}, {one_of(repr('name'), 'p')}, p)))"
     new = f"transform(f_, e -> transform(array({_kind('e')}), q -> IF(q = 'person', {name}, {one_of('q', 'e')}))[0])"
     t = t.withColumn("kinds", F.expr(f"coalesce(transform(f_, e -> {_kind('e')}), cast(array() AS array<string>))"))
     t = t.withColumn("new_", F.expr(f"IF(size(f_) > 0, {new}, NULL)"))
-    t = t.withColumn("gaps_", F.when(F.size("f_") > 0, F.split("text", ANY, -1)))
+    t = t.withColumn("gaps_", F.when(F.col("any_").isNotNull(), F.split("text", F.col("any_"), -1)).when(F.size("f_") > 0, F.split("text", ANY, -1)))
     t = t.withColumn("text", F.when(F.size("f_") > 0, F.expr("array_join(flatten(zip_with(gaps_, new_, (g, n) -> array(g, coalesce(n, '')))), '')")).otherwise(F.col("text")))
     return t.withColumn("n_entities", F.size("kinds").cast("bigint")).select(*keep, "n_entities", "kinds")
 

@@ -83,6 +83,16 @@ def test_op1_letters_of_all_scripts_and_full_shapes(spark):
         assert len(x) == len(n) and x[-1] == n[-1] and x[0].isupper()
 
 
+def test_op1_whole_names_and_bare_mentions(spark):
+    text = "Dr Anna Maria J. von Schmidt came. Schmidt left; SCHMIDT's car, Anna's. Herr Dr. O'Brien-Müller and O'Brien-Müller. Schmidtchen stays."
+    d = spark.createDataFrame([(1, text), (2, "Schmidt alone"), (3, "Mr Schmidt's")], "doc_id long, text string")
+    got = {r.doc_id: r for r in o1.with_surrogates(d).collect()}
+    m = re.fullmatch(r"Dr (\S+) (\S+) J\. von (\S+) came\. (\S+) left; (\S+)'s car, (\S+)'s\. Herr Dr\. (\S+) and (\S+)\. Schmidtchen stays\.", got[1].text)
+    assert m and m[3] == m[4] == m[5].capitalize() and m[1] == m[6] and m[7] == m[8]
+    assert not {"Anna", "Maria", "Schmidt", "O'Brien-Müller"} & set(m.groups())
+    assert got[2].text == "Schmidt alone" and got[3].text == f"Mr {m[3]}'s" and got[1].n_entities == 6
+
+
 def test_op2_equals_the_library(spark, docs, none):
     import sentencepiece
 
