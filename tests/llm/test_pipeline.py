@@ -38,3 +38,10 @@ def test_one_row_of_each_group_stays(spark):
     got = [(x.doc_id, x.text) for x in cp.distinct_texts(spark, frame(spark, rows), "").collect()]
     want = [(3, a + " end"), (None, b), (7, c), (2, d), (8, e + " x"), (9, ""), (9, ""), (None, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_secrets_keep_rows_and_lengths(spark):
+    rows = [(1, "pwd: h!X9#qLm2@z end", "a"), (1, "pwd: h!X9#qLm2@z end", "a"), (None, "plain", None), (2, None, "a"), (3, "", "b")]
+    got = sorted(((x.doc_id, x.text, x.source, x.n_chars) for x in cp.without_secrets(spark, frame(spark, rows), "").collect()), key=repr)
+    want = [(i, t and t.replace("h!X9#qLm2@z", "[SECRET]"), s) for i, t, s in rows]
+    assert got == sorted(((i, t, s, None if t is None else len(t)) for i, t, s in want), key=repr)
