@@ -12,8 +12,8 @@ there. The trees of all languages are therefore compiled into one hash table a l
 costs (one per language) for each successor seen and for each escape, and texts are scored by numpy
 gathers: a byte looks up its longest context first and goes down a level with the escape costs added.
 
-Sample (the documented bound): of each language, texts with the smallest hashes of their ids, about
-``TRAIN_DOCS`` of them, each cut to ``TRAIN_CHARS`` characters. Prediction reads whole texts.
+Sample (the documented bound): of each language, the ``TRAIN_DOCS`` different texts with the smallest
+hashes, whole. Prediction reads whole texts.
 
 Null texts and texts without a letter get ``und`` with score 0; so does everything when no language
 could be learned. Score: the posterior of the winner under equal priors, with code lengths divided
@@ -26,17 +26,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import mix, table, text_slices, tidy
+from .common import mix, table, text_slices
 
 ORDER = 4
 #: Bytes scored at once.
 STEP = 1 << 18
 TRAIN_DOCS = 300
-TRAIN_CHARS = 8_000
 UND = "und"
 
 
@@ -185,59 +184,66 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
-    """About ``docs_per_lang`` labelled texts of each language that are not held out.
+def training_sample(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> dict[str, list[str]]:
+    """Up to ``docs_per_lang`` different labelled texts of each language that are not held out, whole.
 
-    The rows of each language are counted first; a threshold on the hash of the id then lets through
-    about twice the wanted number, so only a bounded part of the texts reaches the driver.
+    Texts are drawn by a hash of their own: copies of a text, and rows with a null or repeated id, are
+    one draw. A threshold a language on that hash lets through about twice the wanted number of texts,
+    and a window keeps the wanted ones, so at most ``docs_per_lang`` rows a language reach the driver.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    h = F.xxhash64(F.lit("langid"), "doc_id").bitwiseAND(F.lit((1 << 30) - 1))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * (2 * docs_per_lang + 20) / n) + 1))).otherwise(limit)
-    got = rows.where(h < limit).select("lang", h.alias("h"), F.substring("text", 1, chars).alias("text")).collect()
+    h = F.xxhash64(F.lit("langid"), "text").bitwiseAND(F.lit((1 << 30) - 1))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", h.alias("h"))
+    limit = F.least(F.lit(float(1 << 30)), F.ceil(F.lit(float(1 << 30) * (2 * docs_per_lang + 20)) / F.greatest(F.col("kinds"), F.lit(1)))).cast("bigint")
+    limits = rows.groupBy(F.col("lang").alias("l_")).agg(F.approx_count_distinct("h", 0.05).alias("kinds")).select("l_", limit.alias("limit_"))
+    drawn = rows.join(limits, F.col("lang") == F.col("l_")).where("h < limit_").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     out: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r.lang, r.h, r.text)):
-        if len(texts := out.setdefault(r.lang, [])) < docs_per_lang:
-            texts.append(r.text)
+    for r in sorted(drawn.withColumn("nth", nth).where(F.col("nth") <= docs_per_lang).select("lang", "nth", "text").collect(), key=lambda r: (r.lang, r.nth)):
+        out.setdefault(r.lang, []).append(r.text)
     return out
 
 
-PREDICTED = "lang_pred string, score double"
+TOLD = "struct<lang_pred: string, score: double, bits: double>"
 
 
-def predict(docs: DataFrame, model: ByteTrees, *keep: F.Column) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score of the whole ``text``; one pass, no shuffle."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    names = src.columns[:-2]
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def told(model: ByteTrees, spark: SparkSession, text: str = "text") -> F.Column:
+    """Struct (lang_pred, score, bits a byte under that language; null where ``und``) of the whole ``text``.
 
-    @tidy
-    def run(batches: Iterator):
-        import pyarrow as pa
+    Only the text goes to Python and only the struct comes back, so other columns never leave the JVM.
+    """
+    shared = spark.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in batches:
-            for i, j, data, offs in text_slices(batch, "__text"):
-                rows = batch.slice(i, j - i)
-                letter = rows.column(rows.schema.get_field_index("__letter")).to_numpy(zero_copy_only=False).astype(bool)
-                lang = np.full(j - i, UND, object)
-                score = np.zeros(j - i)
-                if m.langs:
+            texts = pa.RecordBatch.from_arrays([batch.field(0)], names=["text"])
+            letters = batch.field(1).to_numpy(zero_copy_only=False).astype(bool)
+            lang, score, per = [], [], []
+            for i, j, data, offs in text_slices(texts):
+                letter = letters[i:j]
+                names, sure, cost = np.full(j - i, UND, object), np.zeros(j - i), np.full(j - i, np.nan)
+                if m.langs and letter.any():
                     bits = m.bits(data, offs)
-                    best = bits.argmin(axis=1)
-                    gap = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(np.maximum(np.diff(offs), 1))[:, None]
-                    lang[letter] = np.array(m.langs, object)[best[letter]]
-                    score[letter] = (1 / np.exp2(-gap).sum(axis=1))[letter]
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+                    size = np.maximum(np.diff(offs), 1)
+                    gap = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(size)[:, None]
+                    names[letter] = np.array(m.langs, object)[bits.argmin(axis=1)[letter]]
+                    sure[letter] = (1 / np.exp2(-gap).sum(axis=1))[letter]
+                    cost[letter] = (bits.min(axis=1) / size)[letter]
+                lang.append(names)
+                score.append(sure)
+                per.append(cost)
+            lang, score, per = (np.concatenate(x) if x else np.zeros(0) for x in (lang, score, per))
+            yield pa.StructArray.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(per, pa.float64(), from_pandas=True)], names=["lang_pred", "score", "bits"]
+            )
+
+    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    return F.arrow_udf(run, TOLD)(F.struct(F.col(text).alias("text"), has_letter.alias("letter")))
+
 
-    return src.mapInArrow(run, schema)
+def predict(docs: DataFrame, model: ByteTrees, *keep: F.Column) -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred and score of the whole ``text``; one pass, no shuffle."""
+    return docs.select(*keep, told(model, docs.sparkSession).alias("told_")).select("*", "told_.lang_pred", "told_.score").drop("told_")
 
 
 def train(docs: DataFrame) -> ByteTrees:

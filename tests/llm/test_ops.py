@@ -292,6 +292,22 @@ def test_op9_rows(spark, docs, none):
     assert o9.predict(none, o9.train(none), F.col("doc_id")).count() == 0
 
 
+def test_op9_sample_is_bounded_and_whole(spark):
+    long = "ein sehr langer Text " * 3000
+    rows = [(None, "same text here", "en")] * 500 + [(9, f"other text {i}", "en") for i in range(40)] + [(9, long, "de"), (9, "", "de"), (9, None, "de"), (11, "ohne", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = o9.training_sample(d, 20)
+    assert len(got["en"]) == 20 == len(set(got["en"])) and long in got["de"] and set(got) <= {"en", "de"}
+    assert len(o9.training_sample(d, 100)["en"]) == 41
+    assert o9.training_sample(d.limit(0)) == {}
+
+
+def test_op9_keeps_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "the text", "x", "y", True)], "doc_id long, text string, lang_pred string, score string, letter boolean")
+    got = o9.predict(d, o9.ByteTrees({"en": ["the text of"]}), F.col("doc_id"), F.col("letter")).first()
+    assert tuple(got)[:3] == (1, True, "en")
+
+
 def test_op9_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = o9.predict(d, o9.train(d), F.col("lang"), o9.held_out().alias("h")).where("h").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]

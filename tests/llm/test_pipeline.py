@@ -45,3 +45,16 @@ def test_secrets_keep_rows_and_lengths(spark):
     got = sorted(((x.doc_id, x.text, x.source, x.n_chars) for x in cp.without_secrets(spark, frame(spark, rows), "").collect()), key=repr)
     want = [(i, t and t.replace("h!X9#qLm2@z", "[SECRET]"), s) for i, t, s in rows]
     assert got == sorted(((i, t, s, None if t is None else len(t)) for i, t, s in want), key=repr)
+
+
+def test_language_rejects_noise_and_corrects_labels(spark):
+    r = random.Random(3)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    rows = [(i, " ".join(word("abcde") for _ in range(30)), "en") for i in range(60)] + [(100 + i, " ".join(word("vwxyz") for _ in range(30)), "de") for i in range(60)]
+    odd = [(500, "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(400)), "en"), (501, None, "en"), (502, "123 456", None), (None, " ".join(word("vwxyz") for _ in range(30)), None), (503, "abc", "de")]
+    d = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows + odd], SCHEMA)
+    got = {x.doc_id: x.lang for x in cp.known_language(spark, d, "").collect()}
+    assert set(got) == {i for i, *_ in rows} | {None, 503}
+    assert all(got[i] == lang for i, _, lang in rows) and got[None] == "de" and got[503] == "en"
+    assert [x.doc_id for x in cp.known_language(spark, d.withColumn("lang", cp.F.lit(None).cast("string")).where("doc_id > 499"), "").collect()] == [500, 503]
+    assert cp.known_language(spark, d.limit(0), "").count() == 0
