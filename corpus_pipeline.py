@@ -12,11 +12,26 @@ from quire.session import ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: A text of so many bytes that no language tells from noise (8 bits a byte say nothing) is rejected.
+MIN_BYTES, MAX_BITS = 32, 7.5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: those without a letter, or without text, go."""
+    """Documents whose language is told, with ``lang`` set to it.
+
+    Rejected: texts that are null or without a letter, and texts of ``MIN_BYTES`` or more that even the
+    best language codes at ``MAX_BITS`` bits a byte or worse. Where no row has a label, so that nothing
+    could be learned, texts with a letter stay as they are. Repeated rows and null ids are rows like any
+    other; columns beyond those of documents are left out. No rows: none.
+    """
     ship(spark)
-    told = op09_langid.predict(docs, op09_langid.train(docs), *[F.col(c) for c in COLUMNS])
-    return told.where(F.col("lang_pred") != op09_langid.UND).select(*COLUMNS)
+    model = op09_langid.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    told = docs.select(*COLUMNS, op09_langid.told(model, spark).alias("told_"))
+    noise = (F.octet_length("text") >= MIN_BYTES) & (F.col("told_.bits") >= MAX_BITS)
+    told = told.where((F.col("told_.lang_pred") != op09_langid.UND) & ~F.coalesce(noise, F.lit(False)))
+    return told.withColumn("lang", F.col("told_.lang_pred")).select(*COLUMNS)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
