@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,17 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where the setting is absent."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A fresh folder below spark.checkpoint.dir; below the warehouse, which is shared too, where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-work"
     return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written as a table and read back: cuts lineage and survives lost executors."""
+    """``df`` written as a table and read back: cuts lineage and survives lost executors.
+
+    The driver collects its garbage then, so that Spark removes the shuffle files of finished steps.
+    """
     df.write.mode("overwrite").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,8 +89,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_rng = np.random.default_rng(20240917)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Words of more bytes are hashed one by one, by BLAKE2.
+LONG_WORD = 256
+_PART = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,7 +122,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rabin-Karp hashes of ``values[start:end]`` for all given ranges, by one prefix sum."""
+    """Rabin-Karp hashes of ``values[start:end]``, ranges of mixed 64-bit values, by one prefix sum."""
     up, down = powers(len(values) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(values) + 1, np.uint64)
@@ -151,4 +152,27 @@ def scan_words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = False) -> np.ndarray:
-    return rolling(_BYTE[_LOWER[data] if lower else data], s, e)
+    """64-bit hashes of the words ``data[s:e]``: a chain of bijective mixing steps, eight bytes each.
+
+    A polynomial modulo a power of two would let long words of few letters collide whatever its base.
+    """
+    import hashlib
+
+    if lower:
+        data = _LOWER[data]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    n = e - s
+    with np.errstate(over="ignore"):
+        h = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+        h = mix(h ^ (eight[s] & _PART[np.minimum(n, 8)]))
+        at = np.flatnonzero((n > 8) & (n <= LONG_WORD))
+        for k in range(8, LONG_WORD, 8):
+            if not len(at):
+                break
+            h[at] = mix((h[at] ^ (eight[s[at] + k] & _PART[np.minimum(n[at] - k, 8)])) * np.uint64(0x9E3779B97F4A7C15))
+            at = at[n[at] > k + 8]
+    for i in np.flatnonzero(n > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : e[i]], digest_size=8).digest(), "little")
+    return h

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, table, text_slices
+from .common import mix, table, text_slices, tidy
 
 ORDER = 4
 #: Bytes scored at once.
@@ -195,7 +195,8 @@ def training_sample(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> dict[st
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", h.alias("h"))
     limit = F.least(F.lit(float(1 << 30)), F.ceil(F.lit(float(1 << 30) * (2 * docs_per_lang + 20)) / F.greatest(F.col("kinds"), F.lit(1)))).cast("bigint")
     limits = rows.groupBy(F.col("lang").alias("l_")).agg(F.approx_count_distinct("h", 0.05).alias("kinds")).select("l_", limit.alias("limit_"))
-    drawn = rows.join(limits, F.col("lang") == F.col("l_")).where("h < limit_").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # One row a label is broadcast, less than the model, which has a column a label.
+    drawn = rows.join(F.broadcast(limits), F.col("lang") == F.col("l_")).where("h < limit_").groupBy("lang", "h").agg(F.min("text").alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     out: dict[str, list[str]] = {}
     for r in sorted(drawn.withColumn("nth", nth).where(F.col("nth") <= docs_per_lang).select("lang", "nth", "text").collect(), key=lambda r: (r.lang, r.nth)):
@@ -213,6 +214,7 @@ def told(model: ByteTrees, spark: SparkSession, text: str = "text") -> F.Column:
     """
     shared = spark.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in batches:
