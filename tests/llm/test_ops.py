@@ -122,6 +122,30 @@ def test_op3_one_text_everywhere(spark):
     assert got.shard.value_counts().between(240, 260).all()
 
 
+def test_words_that_fool_powers_of_two():
+    """Thue-Morse words have equal polynomials modulo 2 ** 64 in any odd base."""
+    from quire.llm import common
+
+    a = b"a"
+    for _ in range(12):
+        a += bytes(195 - x for x in a)
+    b = bytes(195 - x for x in a)
+    words = [a, b, a[:300], b[:300], a[:20], b[:20], a[:8], b[:8], a[:9], b"x", a]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    s, e, *_ = common.scan_words(data, np.array([0, len(data)]))
+    h = common.word_hashes(data, s, e)
+    assert len(set(h.tolist())) == len(words) - 1 and h[0] == h[-1]
+
+
+def test_op4_long_words_that_differ(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    tail = " " + " ".join(f"t{i}" for i in range(19))
+    d = spark.createDataFrame([(1, a + tail), (2, a.translate(str.maketrans("ab", "ba")) + tail), (3, a + tail)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in o4.remove_repeats(d).collect()} == {1: 0, 2: 0, 3: 20}
+
+
 def test_op4_by_brute_force(docs, none):
     rows = [(r.doc_id if r.doc_id is not None else 1 << 62, r.text) for r in docs.select("doc_id", "text").collect()]
     first = {}
@@ -182,29 +206,137 @@ def test_op6_by_brute_force(docs, none):
     assert o6.link_components(none).count() == 0
 
 
-def test_op6_tree_finds_all(spark):
+def test_op6_tree_finds_all():
     r = np.random.default_rng(1)
-    n = r.integers(20, 60, 300)
-    sets = [r.choice(200, k, replace=False).astype(np.uint64) for k in n]
-    tree = o6.CountTree(o6.count_points(np.concatenate(sets), n), n)
-    for q in range(0, 300, 17):
-        at, _ = tree.search(q)
-        links = {i for i in range(300) if i != q and 100 * len(np.intersect1d(sets[i], sets[q])) >= 80 * len(np.union1d(sets[i], sets[q]))}
-        assert links <= set(at)
-
-
-def test_op7_by_brute_force(docs, none):
-    got = {r.doc_id: r for r in o7.judged(o7.measures(docs, F.col("doc_id"))).collect()}
-    for d, t in docs.select("doc_id", "text").collect():
-        w = [x.decode() for x in split(t)]
+    n = r.integers(20, 60, 700)
+    base = [r.choice(200, k, replace=False).astype(np.uint64) for k in n]
+    sets = [np.unique(np.r_[s[2:], r.choice(200, 1).astype(np.uint64)]) for s in base] + [np.unique(s) for s in base]
+    n = np.array([len(s) for s in sets])
+    raw = o6.count_points(np.concatenate(sets), n)
+    label = np.arange(len(n)) % 500
+    tree = o6.CountTree(o6.folded(raw, o6.GROUPS), n, label)
+    a, b = tree.joined()
+    met = set()
+    for i, j in o6.row_pairs(tree.start[a], tree.end[a], tree.start[b], tree.end[b]):
+        i, j = tree.order[i], tree.order[j]
+        ok = o6.may_link(i, j, o6.folded(raw, o6.GROUPS), n, raw)
+        pairs = list(zip(np.minimum(i, j)[ok].tolist(), np.maximum(i, j)[ok].tolist()))
+        assert len(set(pairs) | met) == len(pairs) + len(met)
+        met.update(pairs)
+    held = [set(s.tolist()) for s in sets]
+    links = {(i, j) for i in range(len(n)) for j in range(i) if 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j]) and label[i] != label[j]}
+    links = {(min(p), max(p)) for p in links}
+    assert links <= met and len(links) > 100 and len(met) < len(n) ** 2 / 8
+
+
+def test_op6_large_groups_lose_no_link(spark, monkeypatch):
+    """Groups cut into blocks: all pairs of different labels meet, once a pair of blocks at most."""
+    rows = [(k, i, 50 + i % 7, 0 if i < 60 else i) for k in (1, 2) for i in range(100 if k == 1 else 12)]
+    d = spark.createDataFrame(rows, "key long, id long, n int, label long")
+    cells = {}
+    for r in o6._blocks(d, 16).collect():
+        cells.setdefault((r.key, r.x, r.y), []).append(r)
+    met = set()
+    for (k, x, y), rs in cells.items():
+        met |= {(k, a.id, b.id) for a in rs for b in rs if a.id < b.id and a.label != b.label and (x == y or a.own != b.own)}
+    assert met == {(k, i, j) for k, i, _, a in rows for k2, j, _, b in rows if k == k2 and i < j and a != b}
+    assert max(len(rs) for rs in cells.values()) < 80 and len(cells) > 10
+
+
+def test_op6_many_near_copies_and_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(o6, "BLOCK_ROWS", 16)
+    r = random.Random(11)
+    base = [f"w{r.randrange(3000)}" for _ in range(90)]
+    rows = [((1 << 62) + 5, " ".join(base)), (None, " ".join(base[:-1])), (None, "alone " + " ".join(f"v{k}" for k in range(30)))]
+    for i in range(150):
+        w = list(base)
+        w[r.randrange(len(w))] = f"x{i}"
+        rows.append((1000 - i if i % 9 else None, " ".join(w)))
+    rows += [(2000 + i, " ".join(base[:40] + [f"y{r.randrange(5000)}" for _ in range(60)])) for i in range(60)]
+    long = " ".join(f"z{k % 7919}" for k in range(40_000))
+    rows += [(5000, long), (4999, long + " end"), (5001, long + " and more")]
+    got = o6.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.component_id, []).append(x.doc_id)
+    least = min(i for i, _ in rows[3:153] if i)
+    assert len(by[least]) == 152 and (1 << 62) + 5 in by[least] and by[None] == [None]
+    assert sorted(by[4999]) == [4999, 5000, 5001] and all(by[2000 + i] == [2000 + i] for i in range(60))
+
+
+def quality_by_hand(rows):
+    """The whole of op7 in plain Python: {doc_id: (counts, base_failed, class distance, word distance, kept)}."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def js(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        d = sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q))
+        return math.sqrt(max(0, d / 2))
+
+    words = {d: [x.decode() for x in split(t)] for d, t, _ in rows}
+    lists = {}
+    for lang in {x for *_, x in rows}:
+        c = Counter(w.lower() for d, _, x in rows if x == lang for w in words[d])
+        lists[lang] = [w for w, _ in sorted(c.items(), key=lambda k: (-k[1], k[0].encode()))][: o7.COMMON_WORDS]
+    m = {}
+    for d, t, lang in rows:
+        t, w = t or "", words[d]
         at = {}
         for i in range(len(w) - 4):
             at.setdefault(tuple(w[i : i + 5]), []).append(i)
         again = {i + k for p in at.values() if len(p) > 1 for i in p for k in range(5)}
-        r = got[d]
-        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(again))
-        assert r.base_failed == (len(w) < 10 or 100 * len(again) > 20 * len(w)) and not (r.base_failed and r.kept)
-    assert o7.judged(o7.measures(none, F.col("doc_id"))).count() == 0
+        lines = [x for x in t.split("\n") if split(x)]
+        kinds = [sum(len(x) for x in w)]
+        cat = [unicodedata.category(c) for c in t]
+        classes = [len(t) - kinds[0], cat.count("Ll"), cat.count("Lu"), cat.count("Nd"), sum(c in ".,;:!?'\"()-" for c in t), sum(c in "#*$%&|<>" for c in t)]
+        classes.append(len(t) - sum(classes))
+        low = [x.lower() for x in w]
+        commons = [low.count(x) for x in lists[lang]] + [0] * (o7.COMMON_WORDS - len(lists[lang]))
+        commons.append(len(w) - sum(commons))
+        base = len(w) < 10 or 100 * len(again) > 20 * len(w)
+        m[d] = (lang, (len(w), kinds[0], classes[5], len(lines) - len(set(lines)), len(again)), base, len(t), classes, commons)
+
+    def refs(fit):
+        out = {}
+        for lang in {x[0] for x in fit}:
+            of = [x for x in fit if x[0] == lang]
+            out[lang] = tuple([sum(v[k][i] / sum(v[k]) for v in of) / len(of) for i in range(len(of[0][k]))] for k in (4, 5))
+        return out
+
+    def distances(x, r):
+        if x[0] not in r:
+            return None, None
+        return (js(x[4], r[x[0]][0]) if x[3] >= o7.MIN_CHARS else None), (js(x[5], r[x[0]][1]) if x[1][0] >= o7.MIN_WORDS else None)
+
+    def far(x, r):
+        a, b = distances(x, r)
+        return (a or 0) > o7.MAX_CLASS_DISTANCE or (b or 0) > o7.MAX_WORD_DISTANCE
+
+    fit = [x for x in m.values() if not x[2] and x[3] >= o7.MIN_CHARS and x[1][0] >= o7.MIN_WORDS]
+    r = refs(fit)
+    r = refs([x for x in fit if not far(x, r)])
+    return {d: (x[1], x[2], *distances(x, r), not x[2] and not far(x, r)) for d, x in m.items()}
+
+
+def test_op7_by_brute_force(spark, none):
+    g = random.Random(12)
+    vocab = {"en": "the of and to in house tree river Green blue".split(), "de": "der die und in den Haus Baum Fluss".split(), None: ["x1", "Y2", "zz"]}
+    rows = [(i, " ".join(g.choice(vocab[lang] + [f"w{g.randrange(99)}é" for _ in range(9)]) for _ in range(g.randint(1, 150))), lang) for i in range(90) for lang in [g.choice(["en", "en", "de", None])]]
+    rows += [(100, "#$% | <> *** " * 60, "en"), (101, "12 34 567 89. " * 70, "en"), (102, "\n".join(["same line here"] * 4 + ["other line", "  ", "same line here "]), "de"), (103, None, "en"), (104, "", None), (105, "A " * 400, "fr")]
+    rows += [(106, " ".join(f"q{i}q" for i in range(30_000)), "en"), (107, " ".join(f"r{i % 9000}" for i in range(20_000)), "en"), (108, "ZZ! " + " ".join("".join(g.choice("XYZ") for _ in range(6)) for _ in range(90)), "en")]
+    d = spark.createDataFrame([(i, t, lang, "x", "y") for i, t, lang in rows], "doc_id long, text string, lang string, list string, t string")
+    want = quality_by_hand(rows)
+    got = {r.doc_id: r for r in o7.quality(d).collect()}
+    assert set(got) == set(want)
+    for i, (counts, base, a, b, kept) in want.items():
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts, i
+        assert (r.base_failed, r.kept) == (base, kept), (i, r, a, b)
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in ((r.class_distance, a), (r.word_distance, b)))
+    assert any(not k and not base for _, base, _, _, k in want.values()) and sum(k for *_, k in want.values()) > 40
+    assert o7.quality(none).count() == 0
 
 
 def test_op8():
