@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import lint, segments, splits, terms, usage
+from .operators import glossary, lint, segments, splits, terms, usage
 from .sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,7 @@ _LINES = """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
   SELECT doc_id, unnest(string_split(text, chr(10))) AS source, unnest(range(len(string_split(text, chr(10))))) AS o FROM documents) WHERE trim(source) <> ''"""
 _TOKENS = r"""SELECT doc_id, s, unnest(range(len(w))) AS pos, unnest(w) AS tok FROM (
   SELECT doc_id, s, regexp_extract_all(s, '\p{L}(?:[\p{L}''\-])*') AS w FROM (
-    SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])["''”’)]*\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM documents @WHERE@))"""
+    SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?…])["''”’]*\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM documents @WHERE@))"""
 _TITLE = r"regexp_matches(tok, '^\p{Lu}') AND lower(substr(tok, 2)) = substr(tok, 2) AND upper(substr(tok, 2)) <> substr(tok, 2)"
 
 
@@ -51,7 +51,7 @@ def en_too_short_gate(spark, sf_dir):
     return lint.turn_pairs(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", lint.hard_short(F.col("source"), F.col("target")).alias("gated"))
 
 
-@_query(f"""SELECT conv_id, turn, substr(trim(source), 1, 1) IN ('"', '“', '「', '『', '«') AND NOT regexp_matches(target, '["“”「」『』«»]') AS lost FROM ({_PAIRS})""")
+@_query(f"""SELECT conv_id, turn, substr(trim(source), 1, 1) IN ('"', '“', '「', '『', '«') AND NOT regexp_matches(coalesce(target, ''), '[“”「」『』《》]') AS lost FROM ({_PAIRS})""")
 def quote_loss_pairs(spark, sf_dir):
     return lint.turn_pairs(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", lint.quote_loss(F.col("source"), F.col("target")).alias("lost"))
 
@@ -88,13 +88,22 @@ def title_case_tokens(spark, sf_dir):
 
 
 _STOP = ", ".join(f"'{w}'" for w in terms.STOP)
-_ACRO = r"regexp_matches(tok, '^\p{Lu}{2,}$')"
+_JOIN = ", ".join(f"'{w}'" for w in terms.CONNECTORS)
+_ACRO = r"length(tok) >= 2 AND upper(tok) = tok AND lower(tok) <> tok AND NOT regexp_full_match(tok, '[IVXLCDM]+')"
 
 
 def _mine(where: str) -> str:
-    tokens = _TOKENS.replace("@WHERE@", where)
-    return f"""SELECT tok AS surface, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM ({tokens})
-WHERE (({_TITLE}) OR {_ACRO}) AND lower(tok) NOT IN ({_STOP}) GROUP BY tok HAVING count(*) >= 2 AND bool_or(pos <> 0 OR {_ACRO})"""
+    sentences = _TOKENS.replace("@WHERE@", where).replace("SELECT doc_id, s, unnest(range(len(w))) AS pos", "SELECT doc_id, n, unnest(range(len(w))) AS pos").replace("SELECT doc_id, s, regexp_extract_all", "SELECT doc_id, row_number() OVER () AS n, regexp_extract_all")
+    return f"""SELECT surface, n, n_docs, first_doc FROM (WITH t AS ({sentences}),
+f AS (SELECT *, {_TITLE} AS title, {_ACRO} AS caps, lower(tok) IN ({_STOP}) AS stop, lower(tok) IN ({_JOIN}) AS small FROM t),
+g AS (SELECT *, title OR (small AND coalesce(lag(title) OVER w, false) AND coalesce(lead(title) OVER w, false)) AS inside FROM f WINDOW w AS (PARTITION BY n ORDER BY pos)),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY n ORDER BY pos) AS run FROM g WHERE inside),
+e AS (SELECT *, min(CASE WHEN NOT stop THEN pos END) OVER w AS a, max(CASE WHEN NOT stop THEN pos END) OVER w AS z FROM r WINDOW w AS (PARTITION BY n, run)),
+c AS (SELECT doc_id, string_agg(tok, ' ' ORDER BY pos) AS surface, CASE WHEN count(*) > 1 THEN 'run' ELSE 'word' END AS kind FROM e WHERE pos BETWEEN a AND z GROUP BY doc_id, n, run
+  UNION ALL SELECT doc_id, tok, 'caps' FROM f WHERE caps AND NOT stop),
+k AS (SELECT tok FROM f WHERE title GROUP BY tok HAVING count(*) >= 2 AND bool_or(pos <> 0))
+SELECT surface, kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM c WHERE kind <> 'word' OR surface IN (SELECT tok FROM k) GROUP BY surface, kind
+HAVING kind = 'run' OR count(*) >= 2)"""
 
 
 @_query(_mine("WHERE lang = 'en'"))
@@ -111,21 +120,26 @@ def merge_candidate_channels(spark, sf_dir):
 
 @_query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def terms_in_text(spark, sf_dir):
-    return terms.contained(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return terms.contained(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), ["doc_id"], "text", ["item_id"], "text")
 
 
-@_query("""SELECT item_id, count(*) AS n_docs, count(*) FILTER (WHERE NOT contains(text, bt)) AS n_missed FROM (
-  SELECT b.item_id, d.text, b.text AS bt FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) GROUP BY item_id""")
+_WORD_OF = r"regexp_extract(text, '^[^ ]*?([A-Za-z]+)', 1)"
+
+
+@_query(rf"""WITH t AS (SELECT DISTINCT {_WORD_OF} AS w FROM benchmark), p AS (SELECT DISTINCT doc_id, text AS source, lower(text) AS target FROM documents)
+SELECT DISTINCT doc_id, w AS term_source, w AS term_target FROM p JOIN t ON w <> '' AND contains(source, w) AND regexp_matches(source, '(^|[^\p{{L}}\p{{N}}_])' || w || '($|[^\p{{L}}\p{{N}}_])') WHERE NOT contains(coalesce(target, ''), w)""")
 def term_miss(spark, sf_dir):
-    d, b = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
-    hit = terms.contained(d, b, "doc_id", "text", "item_id", "text").join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", F.col("text").alias("bt")), "item_id")
-    return hit.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(~F.col("text").contains(F.col("bt"))).alias("n_missed"))
+    """Terms: the first words of the benchmark, locked as they are; targets: the documents in lower case."""
+    asked = _t(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^[^ ]*?([A-Za-z]+)", 1).alias("source"))
+    pairs = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"), F.lower("text").alias("target"))
+    return lint.missed_terms(pairs, ["doc_id"], asked.withColumn("target", F.col("source")))
 
 
 @_query(r"""SELECT k.doc_id, m.first_id FROM (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS key FROM documents) k
-JOIN (SELECT lower(regexp_replace(text, '\s+', '', 'g')) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1) m ON k.key = m.key AND n > 1 WHERE k.doc_id <> m.first_id""")
+JOIN (SELECT lower(regexp_replace(text, '\s+', '', 'g')) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1) m ON k.key = m.key AND n > 1 WHERE k.doc_id <> m.first_id AND k.key <> ''""")
 def untranslated_pairs(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.compare_key(F.col("text")), 256).alias("key"))
+    """Documents equal to an earlier one but for case and white space; blank ones say nothing."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", tx.compare_key(F.col("text")).alias("k")).where("k <> ''").select("doc_id", F.sha2("k", 256).alias("key"))
     first = d.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return d.join(first, "key").where("doc_id <> first_id").select("doc_id", "first_id")
 
@@ -140,38 +154,83 @@ def letter_ratio(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.round(tx.share_of(F.col("text"), "[A-Za-z]"), 6).alias("ratio"))
 
 
-@_query("SELECT doc_id, replace(replace(regexp_replace(text, '[.]{3,}', '……', 'g'), '--', '——'), chr(9), ' ') AS text FROM documents")
+_ALTERNATE = "array_to_string(list_transform(string_split({t}, {m}), lambda x, i: CASE WHEN i = 1 THEN x WHEN i % 2 = 0 THEN '{a}' || x ELSE '{b}' || x END), '')"
+_HAN_SIDE = "[一-鿿぀-ヿ＀-￯“”‘’（）《》【】、，。！？：；…—]"
+
+
+@_query(rf"""WITH q AS (SELECT doc_id, translate(text, '「」『』', '“”‘’') AS t FROM documents),
+d AS (SELECT doc_id, {_ALTERNATE.format(t='t', m="chr(34)", a='“', b='”')} AS t FROM q),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([A-Za-z])''([A-Za-z])', '\1’\2', 'g'), '([A-Za-z])''([A-Za-z])', '\1’\2', 'g') AS t FROM d),
+s AS (SELECT doc_id, {_ALTERNATE.format(t='t', m="chr(39)", a='‘', b='’')} AS t FROM a),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '。{{3,}}|・{{2,}}|[.]{{3,}}', '…', 'g'), '…+', '……', 'g'), '-{{2,}}', '—', 'g'), '—+', '——', 'g') AS t FROM s),
+c AS (SELECT doc_id, string_split(t, '') AS cs FROM e),
+w AS (SELECT doc_id, array_to_string(list_transform(cs, lambda c, i: CASE WHEN c IN (',', '.', '!', '?', ':', ';') AND (regexp_matches(coalesce(CASE WHEN i > 1 THEN cs[i - 1] END, ''), '{_HAN_SIDE}') OR regexp_matches(coalesce(cs[i + 1], ''), '{_HAN_SIDE}')) THEN translate(c, ',.!?:;', '，。！？：；') ELSE c END), '') AS t FROM c)
+SELECT doc_id, regexp_replace(t, '([，。！？：；、”’》】])\s+', '\1', 'g') AS text FROM w""")
 def normalize_punct(spark, sf_dir):
-    c = F.regexp_replace("text", r"[.]{3,}", "……")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace(c, F.lit("--"), F.lit("——")), F.lit("\t"), F.lit(" ")).alias("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.normalize_zh(F.col("text")).alias("text"))
 
 
-_HEADINGS = [("第5章 雨", "第五章 雨"), ("第12章", "第十二章"), ("第1024章", "第一千零二十四章"), ("第0章", "第0章"), ("第10000章", "第10000章"), ("  第２０回", "  第二十回"), ("序章", "序章"), ("第110章", "第一百一十章"), ("第五章", "第五章")]
+_MARKS = "章节部卷回集"
+_HEADING = f"'第' || CASE WHEN doc_id % 3 = 0 THEN translate(CAST(doc_id * 7 AS VARCHAR), '0123456789', '０１２３４５６７８９') ELSE CAST(doc_id * 7 AS VARCHAR) END || substr('{_MARKS}', CAST(doc_id % 6 + 1 AS INTEGER), 1) || ' ' || source"
+_HAN_DIGIT = "substr('零一二三四五六七八九', CAST({n} AS INTEGER) + 1, 1)"
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _HEADINGS) + ") AS t(heading, numbered)")
+@_query(f"""WITH h AS (SELECT doc_id, doc_id * 7 AS n, {_HEADING} AS heading FROM documents),
+d AS (SELECT *, n // 1000 AS th, n // 100 % 10 AS hu, n // 10 % 10 AS te, n % 10 AS u FROM h),
+w AS (SELECT *, CASE WHEN th > 0 THEN {_HAN_DIGIT.format(n='th')} || '千' ELSE '' END || CASE WHEN hu > 0 THEN {_HAN_DIGIT.format(n='hu')} || '百' WHEN th > 0 AND n % 100 > 0 THEN '零' ELSE '' END
+ || CASE WHEN te > 0 THEN CASE WHEN n BETWEEN 10 AND 19 THEN '' ELSE {_HAN_DIGIT.format(n='te')} END || '十' WHEN hu > 0 AND u > 0 THEN '零' ELSE '' END || CASE WHEN u > 0 THEN {_HAN_DIGIT.format(n='u')} ELSE '' END AS han FROM d WHERE n < 10000)
+SELECT h.doc_id, h.heading, CASE WHEN h.n BETWEEN 1 AND 9999 AND h.doc_id % 6 < 5 THEN '第' || han || substr('{_MARKS}', CAST(h.doc_id % 6 + 1 AS INTEGER), 1) || ' ' || source ELSE h.heading END AS numbered
+FROM h JOIN documents d ON h.doc_id = d.doc_id LEFT JOIN w ON h.doc_id = w.doc_id""")
 def heading_numbering(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _HEADINGS], "heading string").select("heading", tx.number_heading(F.col("heading")).alias("numbered"))
+    n = (F.col("doc_id") * 7).cast("string")
+    number = F.when(F.col("doc_id") % 3 == 0, F.translate(n, "0123456789", "０１２３４５６７８９")).otherwise(n)
+    heading = F.concat(F.lit("第"), number, F.substring(F.lit(_MARKS), F.col("doc_id") % 6 + 1, F.lit(1)), F.lit(" "), "source")
+    d = _t(spark, sf_dir, "documents").select("doc_id", heading.alias("heading"))
+    return d.select("doc_id", "heading", tx.number_heading(F.col("heading")).alias("numbered"))
 
 
 _CONF = "CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'medium' ELSE 'high' END"
 
 
-@_query(f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS source, event_type AS target, {_CONF} AS confidence, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS rk, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-f AS (SELECT source, target, confidence, rk, 'ok' AS status, 0 AS nc, 0 AS nu, k FROM e WHERE k = 1
- UNION ALL SELECT f.source, CASE WHEN e.target <> f.target AND e.rk > f.rk THEN e.target ELSE f.target END, CASE WHEN e.target <> f.target AND e.rk > f.rk THEN e.confidence ELSE f.confidence END,
-  CASE WHEN e.target <> f.target AND e.rk > f.rk THEN e.rk ELSE f.rk END, CASE WHEN e.target <> f.target AND e.rk > f.rk THEN 'conflict' ELSE f.status END,
-  f.nc + CASE WHEN e.target <> f.target THEN 1 ELSE 0 END, f.nu + CASE WHEN e.target <> f.target AND e.rk > f.rk THEN 1 ELSE 0 END, e.k FROM f JOIN e ON e.source = f.source AND e.k = f.k + 1)
-SELECT source, target, confidence, status, CAST(nc AS INTEGER) AS n_conflicts, CAST(nu AS INTEGER) AS n_updates FROM (SELECT *, max(k) OVER (PARTITION BY source) AS mk FROM f) WHERE k = mk""")
+_FOLD = f"""e AS (SELECT CAST(user_id AS VARCHAR) AS source, event_id AS seq, event_type AS target, {_CONF} AS confidence, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END + CASE WHEN event_id % 50 = 7 THEN 10 ELSE 0 END AS rk, event_id % 50 = 7 AS locked, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT source, seq, target, confidence, rk, locked, 'ok' AS status, 'inserted' AS result, CAST(NULL AS VARCHAR) AS old_target, target AS new_target, k FROM e WHERE k = 1
+ UNION ALL SELECT f.source, e.seq, CASE WHEN wins THEN e.target ELSE f.target END, CASE WHEN wins THEN e.confidence ELSE f.confidence END, CASE WHEN wins THEN e.rk % 10 + CASE WHEN f.locked THEN 10 ELSE 0 END ELSE f.rk END, f.locked,
+  CASE WHEN e.target <> f.target THEN 'conflict' ELSE f.status END, CASE WHEN e.target = f.target THEN 'unchanged' WHEN wins THEN 'updated' ELSE 'conflict' END, f.target, e.target, e.k
+  FROM (SELECT f.*, e.target <> f.target AND e.rk > f.rk AS wins FROM f JOIN e ON e.source = f.source AND e.k = f.k + 1) f JOIN e ON e.source = f.source AND e.k = f.k + 1)"""
+
+
+def _proposals(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), F.col("event_type").alias("target"), F.expr(_CONF).alias("confidence"), (F.col("event_id") % 50 == 7).alias("locked")
+    )
+
+
+@_query(f"""WITH RECURSIVE {_FOLD} SELECT source, target, confidence, locked, status, CAST(nc AS BIGINT) AS n_conflicts, CAST(nu AS BIGINT) AS n_updates FROM (
+  SELECT *, max(k) OVER w AS mk, count(*) FILTER (WHERE result IN ('conflict', 'updated')) OVER w AS nc, count(*) FILTER (WHERE result = 'updated') OVER w AS nu FROM f WINDOW w AS (PARTITION BY source)) WHERE k = mk""")
 def glossary_upsert(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("target"), F.expr(_CONF).alias("confidence"), F.col("event_id").alias("seq"))
-    return terms.upsert_fold(e)
+    steps = glossary.fold(_proposals(spark, sf_dir))
+    counts = steps.groupBy("source").agg(F.count_if(F.col("result").isin("conflict", "updated")).alias("n_conflicts"), F.count_if(F.col("result") == "updated").alias("n_updates"))
+    return glossary.terms(steps).join(counts, "source").select("source", "target", "confidence", "locked", "status", "n_conflicts", "n_updates")
+
+
+@_query(f"WITH RECURSIVE {_FOLD} SELECT source, seq, old_target AS existing_target, new_target AS proposed_target FROM f WHERE result IN ('conflict', 'updated')")
+def glossary_conflicts(spark, sf_dir):
+    return glossary.open_conflicts(glossary.fold(_proposals(spark, sf_dir))).select("source", "seq", "existing_target", "proposed_target")
+
+
+@_query(f"WITH RECURSIVE {_FOLD} SELECT result, count(*) AS n, count(*) FILTER (WHERE result IN ('inserted', 'updated')) AS n_changed FROM f GROUP BY result")
+def glossary_results(spark, sf_dir):
+    return glossary.results(glossary.fold(_proposals(spark, sf_dir)))
+
+
+@_query(f"WITH RECURSIVE {_FOLD} SELECT source, target FROM (SELECT *, max(k) OVER (PARTITION BY source) AS mk FROM f) WHERE k = mk AND (confidence = 'low' OR status = 'conflict')")
+def low_confidence_terms(spark, sf_dir):
+    return glossary.low_confidence(glossary.terms(glossary.fold(_proposals(spark, sf_dir)))).select("source", "target")
 
 
 @_query("SELECT sha256(trim(text)) AS source_hash, max(doc_id) AS seq, arg_max(source, doc_id) AS target FROM documents GROUP BY 1")
 def tm_last_write(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select(F.sha2(tx.py_strip(F.col("text")), 256).alias("source_hash"), "doc_id", "source")
-    return d.groupBy("source_hash").agg(F.max("doc_id").alias("seq"), F.max_by("source", "doc_id").alias("target"))
+    return glossary.memory(_t(spark, sf_dir, "documents"), "text", "source", "doc_id")
 
 
 @_query("SELECT event_type AS tier, user_id % 7 AS stage, count(*) AS calls, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 7), ())")
@@ -264,8 +323,12 @@ def long_segment_split(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_Q)
+    from . import catalog_books
+
+    return _Q | catalog_books.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import catalog_books
+
+    return _SQL | catalog_books.SQL

@@ -49,7 +49,7 @@ if __name__ == "__main__":
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     qs, sqls, con = entry.queries(), entry.oracle_sql(), connect(sys.argv[1])
-    for name in sys.argv[2:] or sqls:
+    for name in sys.argv[2:] or [n for n in sqls if not n.startswith("op")]:
         t = time.time()
         try:
             said, n = differences(spark, con, qs[name], sqls[name], sys.argv[1])
