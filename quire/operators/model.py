@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import json_loose
 from ..functions.text import is_blank
@@ -118,7 +119,7 @@ def aligned(sources: list[str], ask: Callable[[list[str]], str], retries: int =
 
 def translated(batches: DataFrame, client, operation: str = "translate.batch", retries: int = 2) -> DataFrame:
     """(key columns, sources, targets): each packed batch (an array ``sources``) answered text by text."""
-    schema = batches.schema.add("targets", "array<string>")
+    schema = T.StructType([*batches.schema.fields, T.StructField("targets", T.ArrayType(T.StringType()))])
     at = batches.columns.index("sources")
 
     def run(parts: Iterator):

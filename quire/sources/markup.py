@@ -212,7 +212,7 @@ def fragment_anchors(root: Node) -> dict[str, str | None]:
 
 
 def filled(template: str, targets: dict[str, str], sources: dict[str, str] | None = None, source_first: bool = False) -> str:
-    """The marked page with its blocks' texts replaced by anchor; kept elements stand at rescaled offsets.
+    """The marked page with the texts of the blocks in ``targets`` replaced; kept elements stand at rescaled offsets.
 
     With ``sources``, a block is joined by a copy that holds the source. Marks go.
     """
@@ -221,6 +221,10 @@ def filled(template: str, targets: dict[str, str], sources: dict[str, str] | Non
         anchor = n.attrs.pop(ID, None)
         if anchor is None:
             continue
+        if anchor not in targets:
+            for x in n.nodes():
+                x.attrs.pop(INLINE_ID, None)
+            continue
         raw, spots = "", []
         for part in _runs(n, {id(x) for x in n.nodes() if INLINE_ID in x.attrs}):
             if isinstance(part, Node):
@@ -229,7 +233,7 @@ def filled(template: str, targets: dict[str, str], sources: dict[str, str] | Non
                 raw += part
         text = raw.strip()
         lead = len(raw) - len(raw.lstrip())
-        target = targets.get(anchor, text)
+        target = targets[anchor]
         parts, at = [], 0
         for node, offset in spots:
             node.attrs.pop(INLINE_ID)
