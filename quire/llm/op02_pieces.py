@@ -71,9 +71,9 @@ class Pieces:
         joined = re.escape("".join(sorted(self.joining - {MARK})))
         self.parts = re.compile(f"{MARK}+[{joined}]*|[{joined}]+|." if self.cut_at_mark else f"[{MARK}{joined}]+|.", re.DOTALL)
         self.cache = _Parts(self)
-        #: Whether any part met so far decodes to other text than its own; then texts are decoded id by id.
-        self.odd = False
         self.digits = {p: str(i) for p, i in self.ids.items()}
+        #: Text of each id that stands for itself wherever it is.
+        self.plain = {str(i): p.replace(MARK, " ") for p, i in self.ids.items()}
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored adjacent pair first, the leftmost among equals."""
@@ -159,7 +159,7 @@ class Pieces:
     def encode(self, text: str | None) -> list[int]:
         return [i for part in self.cut(self.marked(text or "")) for p in self.segment(part) for i in self.piece_ids(p)]
 
-    def decode(self, ids: list[int], first: bool = True) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Text of any list of ids; runs of bytes that are no UTF-8 give a replacement character each."""
         out: list[str] = []
         raw = bytearray()
@@ -179,7 +179,7 @@ class Pieces:
                     i += 1
             raw.clear()
 
-        begin = first and self.dummy
+        begin = self.dummy
         for i in ids:
             if i in self.id_byte:
                 raw.append(self.id_byte[i])
@@ -204,26 +204,26 @@ class Pieces:
             for piece in self.segment(part):
                 got = known.get(piece)
                 if got is None:
-                    ids = self.piece_ids(piece)
-                    if self.decode(ids, first=False) != piece:
-                        self.odd = True
-                    got = ",".join(map(str, ids))
+                    got = ",".join(map(str, self.piece_ids(piece)))
                 found.append(got)
         return ",".join(found)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids and of the decoded text."""
+        """Number of ids, SHA-256 of the ids and of the text that the ids decode to."""
         if not text:
             return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
         if self.dummy and self.cut_at_mark and MARK not in text and "  " not in text and text[0] != " " != text[-1]:
             ids = ",".join(map(self.cache.__getitem__, text.split(" ")))
         else:
             ids = ",".join(map(self.part_ids, self.cut(self.marked(text))))
-        if self.odd:
-            decoded = self.decode(list(map(int, ids.split(","))))
-        else:
-            decoded = self.marked(text).replace(MARK, " ")[1 if self.dummy else 0 :]
-        return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        every = ids.split(",")
+        try:
+            decoded = "".join(map(self.plain.__getitem__, every))
+            if self.dummy and self.text[int(every[0])].startswith(MARK):
+                decoded = decoded[1:]
+        except KeyError:  # bytes or an unknown piece
+            decoded = self.decode(list(map(int, every)))
+        return len(every), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 class _Parts(dict):

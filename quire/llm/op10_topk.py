@@ -8,8 +8,9 @@ merges them with the best so far, so that it passes on k rows a query at most. A
 the tasks' rows. Scores are exact integers (int64; int32 where the largest product sum fits).
 
 Queries are the rows whose id is divisible by ``every``. They are processed in blocks of
-``QUERY_BLOCK``; a broadcast holds one group of blocks of at most ``GROUP_BYTES``, and further groups
-are further passes over the candidates, so memory does not grow with the number of queries.
+``QUERY_BLOCK``; a broadcast holds one group of blocks of at most ``GROUP_BYTES``. Further groups are further
+passes over the candidates, whose results are written before the next group is fetched, so memory does
+not grow with the number of queries. Repeated query rows are one query.
 
 Vectors that are null, or hold a null or a component that is not finite, take no part; nor do rows
 without an id. Vectors of another length than the query's score over the common components. Ties go
@@ -19,12 +20,13 @@ to the smaller id; rows that repeat an id are candidates each. Fewer than k cand
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, work_dir, written
 
 K = 5
 EVERY = 50
@@ -107,47 +109,61 @@ LOWEST = np.iinfo(np.int64).min
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score for frames of (id, v); a query's own id is no candidate."""
+    """query_id, rank, vec_id, score for frames of (id, v); a query's own id is no candidate.
+
+    Equal query rows are one query; queries of one id with different vectors are ranked each on their own.
+    """
     spark = candidates.sparkSession
+    queries = queries.select("id", "v").distinct()
     shape = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     per_group = max(QUERY_BLOCK, GROUP_BYTES // (8 * max(1, shape[1])) // QUERY_BLOCK * QUERY_BLOCK)
     groups = max(1, -(-shape[0] // per_group))
-    found = None
-    for g in range(groups):
-        part = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g)
-        rows = part.toArrow().combine_chunks()
-        q_ids = rows.column("id").to_numpy()
-        q = _matrix(rows.column("v").combine_chunks()) if len(q_ids) else np.zeros((0, 1), np.int64)
-        shared = spark.sparkContext.broadcast((q_ids, q))
-
-        def run(batches: Iterator, shared=shared):
-            import pyarrow as pa
-
-            ids, q = shared.value
-            blocks = [(a, ids[a : a + QUERY_BLOCK], postings(q[a : a + QUERY_BLOCK])) for a in range(0, len(ids), QUERY_BLOCK)]
-            best = {a: (np.zeros(0, np.int64),) * 3 for a, _, _ in blocks}
-            for batch in batches:
-                c_ids, c_vec = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
-                for c in range(0, len(c_ids), CANDIDATE_BLOCK):
-                    some, vec = c_ids[c : c + CANDIDATE_BLOCK], c_vec[c : c + CANDIDATE_BLOCK]
-                    by_id = np.argsort(some, kind="stable")
-                    for a, own, terms in blocks:
-                        scores = accumulate(terms, len(own), vec).astype(np.int64)
-                        lo, hi = np.searchsorted(some[by_id], own, "left"), np.searchsorted(some[by_id], own, "right")
-                        for r in np.flatnonzero(hi > lo):
-                            scores[r, by_id[lo[r] : hi[r]]] = LOWEST
-                        r, i, s = _best(scores, some, k)
-                        r, i, s = (x[s > LOWEST] for x in (r, i, s))
-                        best[a] = _cut(*(np.concatenate(x) for x in zip(best[a], (r, i, s))), k)
-            for a, own, _ in blocks:
-                r, i, s = best[a]
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-        got = candidates.select("id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        found = got if found is None else found.unionByName(got)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if groups == 1:
+        return _group(queries, candidates, k)[0]
+    path = work_dir(spark)
+    found = []
+    for g in range(groups):  # one group at a time is held on the driver and in the tasks
+        got, shared = _group(queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(groups)) == g), candidates, k)
+        found.append(written(got, f"{path}/group{g}"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _group(queries: DataFrame, candidates: DataFrame, k: int):
+    """The result for queries that fit into one broadcast, and the broadcast."""
+    rows = queries.toArrow().combine_chunks()
+    q_ids = rows.column("id").to_numpy()
+    q = _matrix(rows.column("v").combine_chunks()) if len(q_ids) else np.zeros((0, 1), np.int64)
+    shared = candidates.sparkSession.sparkContext.broadcast((q_ids, q))
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        ids, q = shared.value
+        blocks = [(a, ids[a : a + QUERY_BLOCK], postings(q[a : a + QUERY_BLOCK])) for a in range(0, len(ids), QUERY_BLOCK)]
+        best = {a: (np.zeros(0, np.int64),) * 3 for a, _, _ in blocks}
+        for batch in batches:
+            c_ids, c_vec = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            for c in range(0, len(c_ids), CANDIDATE_BLOCK):
+                some, vec = c_ids[c : c + CANDIDATE_BLOCK], c_vec[c : c + CANDIDATE_BLOCK]
+                by_id = np.argsort(some, kind="stable")
+                for a, own, terms in blocks:
+                    scores = accumulate(terms, len(own), vec).astype(np.int64)
+                    lo, hi = np.searchsorted(some[by_id], own, "left"), np.searchsorted(some[by_id], own, "right")
+                    for r in np.flatnonzero(hi > lo):
+                        scores[r, by_id[lo[r] : hi[r]]] = LOWEST
+                    r, i, s = _best(scores, some, k)
+                    r, i, s = (x[s > LOWEST] for x in (r, i, s))
+                    best[a] = _cut(*(np.concatenate(x) for x in zip(best[a], (r, i, s))), k)
+        for a, own, _ in blocks:
+            r, i, s = best[a]
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array(r + a), pa.array(own[r]), pa.array(i), pa.array(s)], names=["q", "query_id", "vec_id", "score"])
+
+    found = candidates.select("id", "v").mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score"), shared
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,10 +175,12 @@ SQL = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT id, v, row_number() OVER () AS n FROM (SELECT DISTINCT id, v FROM v WHERE id % 50 = 0)
 ), s AS (
-  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.id <> q.id WHERE q.id % 50 = 0
+  SELECT q.n, q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM q JOIN v c ON c.id <> q.id
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
-SELECT * FROM r WHERE rank <= 5
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

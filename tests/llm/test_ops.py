@@ -105,6 +105,11 @@ def test_op2_equals_the_library(spark, docs, none):
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids)
         assert own.digest(t) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
     assert o2.round_trip(docs, path).count() == docs.count() and o2.round_trip(none, path).count() == 0
+    wrong = o2.Pieces(path)
+    wrong.cache["the"] = str(lib.piece_to_id("▁of"))
+    assert wrong.digest("the")[2] == hashlib.sha256(b"of").hexdigest()  # what is decoded is the ids
+    long = "the ing tion é日 " * 90_000
+    assert own.digest(long)[:2] == (len(lib.encode(long)), hashlib.sha256(",".join(map(str, lib.encode(long))).encode()).hexdigest())
     both = o2.decode_ids(o2.encode_documents(docs, path), path).select("text", "decoded").collect()
     assert all(b.decoded == (b.text or "") for b in both)
 
@@ -446,7 +451,7 @@ def test_op9_held_out_accuracy(spark):
     assert got > 0.97
 
 
-def test_op10_by_brute_force(spark):
+def test_op10_by_brute_force(spark, monkeypatch):
     r = np.random.default_rng(2)
     vecs = [(i, [float(x) for x in r.normal(size=8) * (r.random(8) < 0.7)]) for i in range(300)]
     vecs += [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (7, vecs[7][1]), (None, vecs[0][1])]
@@ -459,4 +464,10 @@ def test_op10_by_brute_force(spark):
             best = sorted((-int(v @ w), i) for i, w in own if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
+    twice = d.where("id = 50 OR id = 100").unionByName(d.where("id = 50")).unionByName(d.where("id = 3").selectExpr("50L AS id", "v"))
+    again = [tuple(r) for r in o10.top_k(twice, d).collect()]
+    assert sorted(again) == sorted([x for x in want if x[0] in (50, 100)] + [(50, k + 1, i, -s) for k, (s, i) in enumerate(sorted((-int(own[3][1] @ w), i) for i, w in own if i != 50)[:5])])
+    monkeypatch.setattr(o10, "GROUP_BYTES", 1)
+    monkeypatch.setattr(o10, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, o10.top_k(d.where("id % 50 = 0"), d).collect())) == got
     assert o10.top_k(d.limit(0), d).count() == 0 and o10.top_k(d, d.limit(0)).count() == 0
