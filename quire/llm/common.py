@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import uuid
@@ -27,7 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir; below the warehouse, which is shared too, where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-work"
-    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
+_folders: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def remove_work() -> None:
+    """Removes the work folders of this process, as far as its session still runs; results must not be read after it."""
+    while _folders:
+        spark, path = _folders.pop()
+        if spark.sparkContext._jsc is not None:
+            try:
+                to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+            except Exception:  # the virtual machine is gone: the folder stays
+                return
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -40,6 +59,16 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that their heaps shrink before a step that needs memory beside them.
+
+    A few rows a core are dealt out, each of which asks the virtual machine it meets; nothing depends on
+    whether all are reached.
+    """
+    rows = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, rows, 1, rows).selectExpr("java_method('java.lang.System', 'gc') AS g").where("g IS NULL").count()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,6 +11,7 @@ numbers), so all mentions of one entity, however written, receive the same surro
   Greek, Armenian and Georgian each among themselves, other letters a to z; punctuation, length and
   case stay; an address keeps its top-level domain, a card its first digit, a name its
   last letter (which marks gender in many languages) and its title;
+* valid check digits of a card or account number become the valid ones of its surrogate;
 * an IPv4 part becomes a number from 1 to 254.
 
 Collision checks run over the whole corpus on the table of distinct entities: a surrogate that two
@@ -26,6 +27,8 @@ Null texts stay null with no entities. Repeated rows each get a row. Built-in fu
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import table, work_dir, written
 
-KEY = "quire-surrogate-key"
+#: Setting that holds the key; without it each run draws a key of its own.
+KEY_SETTING = "spark.quire.surrogate.key"
 #: Exceptions a broadcast map holds: about 60 bytes each.
 MAP_ROWS = 50_000
 #: Draws within the shape of the entity; the next ones have a longer shape.
@@ -46,7 +50,7 @@ TITLES = {"m": "Mr Herr Monsieur Señor Sr Don Господин", "f": "Mrs Ms M
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts.split())
 _FIRST = "".join(sorted({t[0] for t in _TITLE.split("|")}))
 
-EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,127}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 CARD = r"(?<![\w+])\d{4}(?:[ -]?\d{4}){3}(?:\d{1,3})?(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -101,9 +105,31 @@ def _longer(kind: str, e: str, attempt: str) -> str:
     return f"CASE WHEN {kind} = 'ip' OR {more} < 1 THEN {e} WHEN {kind} = 'name' THEN {name} WHEN {kind} = 'email' THEN concat(repeat('an', {more}), {e}) ELSE concat({e}, repeat('0', {more})) END"
 
 
-def _draw(kind: str, canon: str, e: str, attempt: str) -> str:
+def _luhn(digits: str) -> str:
+    """SQL of the check digit that makes ``digits``, whose last one is not looked at, a card number."""
+    x = f"int(substring({digits}, length({digits}) - i, 1))"
+    total = f"aggregate(sequence(1, length({digits}) - 1), 0, (a, i) -> a + IF(i % 2 = 1, 2 * {x} - IF({x} > 4, 9, 0), {x}))"
+    return f"string((10 - {total} % 10) % 10)"
+
+
+def _iban(s: str) -> str:
+    """SQL of the two check digits of an account number in capitals without blanks."""
+    turned = f"concat(substring({s}, 5), substring({s}, 1, 2), '00')"
+    step = "IF(c rlike '[0-9]', (a * 10 + int(c)) % 97, (a * 100 + ascii(c) - 55) % 97)"
+    return f"lpad(string(98 - aggregate(split({turned}, ''), 0, (a, c) -> {step})), 2, '0')"
+
+
+def _checked(kind: str, e: str, s: str) -> str:
+    """SQL of ``s`` with the check digits of a card or account number, where ``e`` has valid ones."""
+    digits, plain = (lambda x: f"regexp_replace({x}, '[^0-9]', '')"), (lambda x: f"replace({x}, ' ', '')")
+    card = f"IF(substring({e}, length({e}), 1) = {_luhn('d')}, concat(substring({s}, 1, length({s}) - 1), transform(array({digits(s)}), d -> {_luhn('d')})[0]), {s})"
+    iban = f"IF(substring({e}, 3, 2) = {_iban(plain(e))}, concat(substring({s}, 1, 2), {_iban(plain(s))}, substring({s}, 5)), {s})"
+    return f"CASE {kind} WHEN 'card' THEN transform(array({digits(e)}), d -> {card})[0] WHEN 'iban' THEN {iban} ELSE {s} END"
+
+
+def _draw(key: str, kind: str, canon: str, e: str, attempt: str) -> str:
     """SQL of the surrogate of ``e`` whose canonical form is ``canon``."""
-    seed = f"concat('{KEY}|', {kind}, '|', {canon}, '|', {attempt}, '|')"
+    seed = f"concat('{hashlib.sha256(key.encode()).hexdigest()}|', {kind}, '|', {canon}, '|', {attempt}, '|')"
     bytes_ = "concat(" + ", ".join(f"sha2(concat({{seed}}, '{i}'), 256)" for i in range(6)) + ")"
     bytes_ = bytes_.format(seed=seed)
     at = "int(conv(substring(h, pmod(acc.k, 96) * 4 + 1, 4), 16, 10))"
@@ -118,7 +144,8 @@ def _draw(kind: str, canon: str, e: str, attempt: str) -> str:
     iban = f"concat(substring(e, 1, 2), {walk.format(body='substring(e, 3)', k='0')})"
     ip = "concat_ws('.', transform(sequence(0, 3), i -> string(pmod(int(conv(substring(h, i * 4 + 1, 4), 16, 10)), 254) + 1)))"
     body = f"CASE {kind} WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'iban' THEN {iban} WHEN 'ip' THEN {ip} WHEN 'name' THEN {tail('1')} ELSE {plain} END"
-    return f"transform(array({_longer(kind, e, attempt)}), e -> transform(array({bytes_}), h -> {body})[0])[0]"
+    drawn = f"transform(array({bytes_}), h -> {body})[0]"
+    return f"transform(array({_longer(kind, e, attempt)}), e -> transform(array({drawn}), s -> {_checked(kind, 'e', 's')})[0])[0]"
 
 
 def _named(w: str) -> str:
@@ -140,12 +167,12 @@ def entity_table(docs: DataFrame) -> DataFrame:
     return one.groupBy("kind", "canon").agg(F.min("e").alias("form"))
 
 
-def exceptions(entities: DataFrame) -> DataFrame:
+def exceptions(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first draw is not theirs alone; usually few."""
     here = work_dir(entities.sparkSession)
     entities = written(entities, f"{here}/entities")
     own = entities.select(F.col("kind").alias("k2"), F.col("canon").alias("c2"))
-    draw = lambda df: df.withColumn("s", F.expr(_canon("kind", f"({_draw('kind', 'canon', 'form', 'attempt')})")))
+    draw = lambda df: df.withColumn("s", F.expr(_canon("kind", f"({_draw(key, 'kind', 'canon', 'form', 'attempt')})")))
     state = draw(entities.withColumn("attempt", F.lit(0)))
     settled = None
     for n in count():
@@ -167,11 +194,12 @@ def _attempts(maps: int) -> str:
     return f"string(coalesce({', '.join([*hits, '0'])}))"
 
 
-def replace_entities(docs: DataFrame, odd: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` replaced and n_entities and kinds (array) added."""
+def replace_entities(docs: DataFrame, odd: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``text`` replaced and n_entities and kinds (array) added; other columns of any name stay."""
     keep = [c for c in docs.columns if c not in ("n_entities", "kinds")]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row_"), "text")
     maps = -(-odd.count() // MAP_ROWS)
-    t = docs.select(*keep)
+    t = docs
     for i in range(maps):
         part = odd.where(F.pmod(F.xxhash64("kind", "canon"), F.lit(maps)) == i)
         one = part.agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "canon"), "attempt"))).alias(f"m{i}"))
@@ -189,7 +217,7 @@ def replace_entities(docs: DataFrame, odd: DataFrame) -> DataFrame:
 
     def one_of(kind: str, e: str) -> str:
         canon = _canon("kind", "w")
-        return f"transform(array(named_struct('kind', {kind}, 'w', {e})), z -> transform(array(z.kind), kind -> transform(array(z.w), w -> transform(array({canon}), canon -> {_draw('kind', 'canon', 'w', attempts)})[0])[0])[0])[0]"
+        return f"transform(array(named_struct('kind', {kind}, 'w', {e})), z -> transform(array(z.kind), kind -> transform(array(z.w), w -> transform(array({canon}), canon -> {_draw(key, 'kind', 'canon', 'w', attempts)})[0])[0])[0])[0]"
 
     name = f"concat_ws(' ', transform(split(e, ' '), p -> IF({_named('p')}, {one_of(repr('name'), 'p')}, p)))"
     new = f"transform(f_, e -> transform(array({_kind('e')}), q -> IF(q = 'person', {name}, {one_of('q', 'e')}))[0])"
@@ -197,13 +225,15 @@ def replace_entities(docs: DataFrame, odd: DataFrame) -> DataFrame:
     t = t.withColumn("new_", F.expr(f"IF(size(f_) > 0, {new}, NULL)"))
     t = t.withColumn("gaps_", F.when(F.col("any_").isNotNull(), F.split("text", F.col("any_"), -1)).when(F.size("f_") > 0, F.split("text", ANY, -1)))
     t = t.withColumn("text", F.when(F.size("f_") > 0, F.expr("array_join(flatten(zip_with(gaps_, new_, (g, n) -> array(g, coalesce(n, '')))), '')")).otherwise(F.col("text")))
-    return t.withColumn("n_entities", F.size("kinds").cast("bigint")).select(*keep, "n_entities", "kinds")
+    return t.withColumn("n_entities", F.size("kinds").cast("bigint")).select(*[F.col("text") if c == "text" else F.col(f"row_.`{c}`").alias(c) for c in keep], "n_entities", "kinds")
 
 
-def with_surrogates(docs: DataFrame) -> DataFrame:
-    return replace_entities(docs, exceptions(entity_table(docs)))
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` under a secret ``key``: the same key gives the same surrogates for the same corpus."""
+    return replace_entities(docs, exceptions(entity_table(docs), key), key)
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_surrogates(docs).select("doc_id", "n_entities", F.array_join("kinds", ",").alias("kinds"), "text")
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    return with_surrogates(docs, key).select("doc_id", "n_entities", F.array_join("kinds", ",").alias("kinds"), "text")

@@ -20,7 +20,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, table, work_dir, written
 
 SHARDS = 24
 #: Sampled keys a range; the number of ranges follows the number of shuffle partitions.
@@ -113,7 +113,7 @@ def split_ranges(rows: DataFrame, ranges: int) -> tuple[list[tuple], dict[int, i
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in its shard), grown_shard (null)."""
     spark = docs.sparkSession
-    rows = keyed(docs)
+    rows = written(keyed(docs), f"{work_dir(spark)}/keys")  # texts are read once
     ranges = ranges or max(shards, 2 * shuffle_partitions(spark))
     splitters, sums = split_ranges(rows, ranges)
     total = max(1, sum(sums.values()))

@@ -28,7 +28,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, table, work_dir, written
 
 WEIGHTS = (5, 2, 1)
 #: The mix's share of all words, as a fraction.
@@ -38,6 +38,8 @@ BLOCK = 16
 MIX_SHARDS = 8
 SEED = 17
 ROWS_PER_BUCKET = 2_000
+#: Sources, of a kilobyte each, that are broadcast; more are joined with equal results.
+BROADCAST_SOURCES = 10_000
 #: Parts of a copy that shares are counted in.
 UNIT = 1 << 32
 #: Buckets, at some dozens of bytes each, whose sums are sent to all tasks for whole copies.
@@ -116,8 +118,10 @@ def plan(sizes: list[int], block: int = BLOCK, shards: int = MIX_SHARDS, weights
 def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int = SEED, extra: tuple = (), whole: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken (``whole``: and copies) of every document, then the ``extra`` columns."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*extra).alias("extra_") if extra else F.lit(0).alias("extra_"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"))
-    totals = rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
+    narrow = ["doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h")]
+    sized = written(docs.select(*narrow), f"{work_dir(spark)}/sizes")  # texts are read once for all sums
+    rows = docs.select(F.struct(*extra).alias("extra_"), *narrow) if extra else sized
+    totals = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     sources = []
     for r, p in zip(totals, plan([r["size"] for r in totals], block, shards)):
@@ -130,13 +134,16 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = MIX_SHARDS, seed: int
         sources.append((r.source, r["size"], p["target"], max(1, r.rows // ROWS_PER_BUCKET), parts))
     part = "array<struct<first:bigint,n:bigint,whole:bigint,rest:bigint,start:bigint,cum:bigint>>"
     info = spark.createDataFrame(sources, f"source string, source_size bigint, target double, buckets bigint, parts {part}")
-    if len(sources) <= 10_000:  # a few hundred bytes a source: some MB at most
+    if len(sources) <= BROADCAST_SOURCES:
         info = F.broadcast(info)
-    rows = rows.withColumnRenamed("source", "s").join(info, F.col("s").eqNullSafe(F.col("source")))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.col("buckets")))
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.withColumnRenamed("source", "s").join(info, F.col("s").eqNullSafe(F.col("source")))
+        return df.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.col("buckets")))
+
+    rows = dealt(rows)
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
     rows = rows.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    sums = dealt(sized).groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("bs"), F.col("bucket").alias("bb"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     if whole and sum(s[3] for s in sources) <= BROADCAST_BUCKETS:  # the rows stay where their buckets are

@@ -54,18 +54,18 @@ def split(t):
 
 def test_op1(spark, none):
     d = spark.createDataFrame([(1, "Mr John Smith, Ms Smith; A.B@ex.com a.b@EX.com +1 (242) 555-3475 +12425553475"), (2, None), (3, ""), (3, "9.8.7.6"), (3, "9.8.7.6")], "doc_id long, text string")
-    got = {r.text: r for r in o1.with_surrogates(d).collect()}
+    got = {r.text: r for r in o1.with_surrogates(d, "k'1").collect()}
     assert None in got and "" in got
     t = next(t for t in got if t and t.startswith("Mr"))
     a = re.search(r"Mr (\S+) (\S+), Ms (\S+); (\S+) (\S+) (.{17}) (\S+)$", t)
     assert a[2] == a[3] and a[4].lower() == a[5].lower() and re.sub(r"\D", "", a[6]) == re.sub(r"\D", "", a[7])
     assert not {"Smith", "242", "9.8.7.6"} & set(t.replace("(", " ").replace(")", " ").split()) and "9.8.7.6" not in got
-    assert o1.with_surrogates(none.select("doc_id", "text")).count() == 0
+    assert o1.with_surrogates(none, "k").count() == 0
 
 
 def test_op1_collisions_are_redrawn(spark):
     d = spark.createDataFrame([(i, f"mail {c}@{c}.io") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
-    out = [r.text for r in o1.with_surrogates(d).collect()]
+    out = [r.text for r in o1.with_surrogates(d, "k'1").collect()]
     assert len(set(out)) == 26 and not {f"mail {c}@{c}.io" for c in "abcdefghijklmnopqrstuvwxyz"} & set(out)
 
 
@@ -73,7 +73,7 @@ def test_op1_letters_of_all_scripts_and_full_shapes(spark):
     names = "Öz Ωνάσης Łódź Ñuñez Երևան Ðóra Ёлкин Müller Al El Il Ol Ul Ål".split()
     d = spark.createDataFrame([(i, f"Dr {n} came") for i, n in enumerate(names)] + [(i, f"Dr {n} came") for i, n in enumerate(names)], "doc_id long, text string")
     got = {}
-    for r in o1.with_surrogates(d).collect():
+    for r in o1.with_surrogates(d, "k'1").collect():
         got.setdefault(r.doc_id, set()).add(r.text.split()[1])
     assert all(len(x) == 1 for x in got.values())
     new = [x for s in got.values() for x in s]
@@ -86,13 +86,35 @@ def test_op1_letters_of_all_scripts_and_full_shapes(spark):
 def test_op1_whole_names_and_bare_mentions(spark):
     text = "Dr Anna Maria J. von Schmidt came. Schmidt left; SCHMIDT's car, Anna's. Herr Dr. O'Brien-Müller and O'Brien-Müller. Schmidtchen stays."
     d = spark.createDataFrame([(1, text), (2, "Schmidt alone"), (3, "Mr Schmidt's")], "doc_id long, text string")
-    got = {r.doc_id: r for r in o1.with_surrogates(d).collect()}
+    got = {r.doc_id: r for r in o1.with_surrogates(d, "k'1").collect()}
     m = re.fullmatch(r"Dr (\S+) (\S+) J\. von (\S+) came\. (\S+) left; (\S+)'s car, (\S+)'s\. Herr Dr\. (\S+) and (\S+)\. Schmidtchen stays\.", got[1].text)
     assert m and m[3] == m[4] == m[5].capitalize() and m[1] == m[6] and m[7] == m[8]
     assert not {"Anna", "Maria", "Schmidt", "O'Brien-Müller"} & set(m.groups())
     assert got[2].text == "Schmidt alone" and got[3].text == f"Mr {m[3]}'s" and got[1].n_entities == 6
 
 
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def iban(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_op1_formats_keys_and_clashing_columns(spark):
+    rows = [(i, f"card {c} end", "F", "N") for i, c in enumerate(["4111 1111 1111 1111", "5500-0000-0000-0004", "4111 1111 1111 1112"])]
+    rows += [(10, "to DE89 3704 0044 0532 0130 00 now", "F", "N"), (11, "to GB82WEST12345698765432 now", "F", "N"), (12, "a" * 300 + ".b@" + "x" * 70 + ".a.b.c.d.e.f.example.com end", "F", "N"), (13, "Mr A, 1.2.3.4 and (555) 123-4567", "F", "N"), (14, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, f_ string, `new_.x` string")
+    one, again, other = ({r.doc_id: r for r in o1.with_surrogates(d, k).collect()} for k in ("k1", "k1", "k2"))
+    assert one == again and one[10].text != other[10].text and one[0].asDict()["new_.x"] == "N" and one[0].f_ == "F" and one[14].text is None
+    assert all(luhn(one[i].text) == (i < 2) or i == 2 for i in range(3)) and luhn(one[0].text) and luhn(one[1].text) and re.fullmatch(r"card 5\d{3}-\d{4}-\d{4}-\d{4} end", one[1].text)
+    assert all(iban(one[i].text[3:-4]) and one[i].text != rows[i - 7][1] for i in (10, 11))
+    assert "a" * 20 not in one[12].text and "example" not in one[12].text and one[12].text.endswith(".com end") and one[12].n_entities == 1
+    assert not {"1.2.3.4", "123-4567"} & set(one[13].text.split())
+
+
 def test_op2_equals_the_library(spark, docs, none):
     import sentencepiece
 
@@ -283,7 +305,7 @@ def quality_by_hand(rows):
     words = {d: [x.decode() for x in split(t)] for d, t, _ in rows}
     lists = {}
     for lang in {x for *_, x in rows}:
-        c = Counter(w.lower() for d, _, x in rows if x == lang for w in words[d])
+        c = Counter(w.lower() for d, _, x in rows if x == lang for w in words[d] if len(w.lower()) <= o7.COMMON_CHARS)
         lists[lang] = [w for w, _ in sorted(c.items(), key=lambda k: (-k[1], k[0].encode()))][: o7.COMMON_WORDS]
     m = {}
     for d, t, lang in rows:
