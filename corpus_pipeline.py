@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import op02_pieces, op05_mixing, op06_jaccard, op08_secrets, op09_langid
-from quire.llm.common import table, work_dir, written
+from quire.llm.common import give_back, table, work_dir, written
 from quire.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+
+
+def ready(spark: SparkSession) -> None:
+    """Before each stage: workers have the code, executors' heaps are small."""
+    ship(spark)
+    give_back(spark)
+
+
 #: A text of so many bytes that no language tells from noise (8 bits a byte say nothing) is rejected.
 MIN_BYTES, MAX_BITS = 32, 7.5
 
@@ -24,7 +32,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     could be learned, texts with a letter stay as they are. Repeated rows and null ids are rows like any
     other; columns beyond those of documents are left out. No rows: none.
     """
-    ship(spark)
+    ready(spark)
     model = op09_langid.train(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -40,7 +48,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Groups are of rows, not ids: rows are numbered and written first, so the numbers hold in every
     later read, and repeated or null ids are rows like any other. Texts without a shingle all stay.
     """
-    ship(spark)
+    ready(spark)
     rows = written(docs.select(*COLUMNS).withColumn("row_", F.monotonically_increasing_id()), f"{work_dir(spark)}/rows")
     groups = op06_jaccard.link_components(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), "component_id")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_"))
@@ -49,20 +57,24 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark; n_chars follows."""
-    ship(spark)
+    """All documents, with secrets replaced by a mark; n_chars follows. Null texts stay null, empty ones empty."""
+    ready(spark)
     return op08_secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole copies of documents, none too, so that each source has the words the mix takes of it."""
+    """Whole copies of documents, none too, so that each source has the words the mix takes of it.
+
+    Null and wordless texts have no words to take, so they have no copies; a null source is a source.
+    """
+    ready(spark)
     taken = op05_mixing.mix(docs, extra=COLUMNS, whole=True).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of ids and decoded text."""
-    ship(spark)
+    """Number of tokens of every document, and digests of ids and decoded text; null texts count as empty."""
+    ready(spark)
     return op02_pieces.round_trip(docs, op02_pieces.tokenizer_path())
 
 
