@@ -305,7 +305,7 @@ def quality_by_hand(rows):
     words = {d: [x.decode() for x in split(t)] for d, t, _ in rows}
     lists = {}
     for lang in {x for *_, x in rows}:
-        c = Counter(w.lower() for d, _, x in rows if x == lang for w in words[d] if len(w.lower()) <= o7.COMMON_CHARS)
+        c = Counter(w.lower() for d, _, x in rows if x == lang for w in words[d] if len(w) <= o7.COMMON_CHARS)
         lists[lang] = [w for w, _ in sorted(c.items(), key=lambda k: (-k[1], k[0].encode()))][: o7.COMMON_WORDS]
     m = {}
     for d, t, lang in rows:
@@ -319,7 +319,7 @@ def quality_by_hand(rows):
         cat = [unicodedata.category(c) for c in t]
         classes = [len(t) - kinds[0], cat.count("Ll"), cat.count("Lu"), cat.count("Nd"), sum(c in ".,;:!?'\"()-" for c in t), sum(c in "#*$%&|<>" for c in t)]
         classes.append(len(t) - sum(classes))
-        low = [x.lower() for x in w]
+        low = [x.lower() for x in w if len(x) <= o7.COMMON_CHARS]
         commons = [low.count(x) for x in lists[lang]] + [0] * (o7.COMMON_WORDS - len(lists[lang]))
         commons.append(len(w) - sum(commons))
         base = len(w) < 10 or 100 * len(again) > 20 * len(w)
