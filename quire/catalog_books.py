@@ -31,14 +31,14 @@ def _query(sql: str | None = None):
 
 # Checks on pairs.
 
-_PAIRS = """(SELECT conv_id, turn, source, CASE WHEN turn % 8 = 0 THEN upper(source) WHEN turn % 8 = 4 THEN '  ' ELSE target END AS target FROM (SELECT conv_id, turn, text AS source, target FROM (
+_PAIRS = """(SELECT conv_id, turn, source, CASE WHEN turn % 8 = 0 THEN replace(source, ' ', '  ') WHEN turn % 8 = 4 THEN '  ' ELSE target END AS target FROM (SELECT conv_id, turn, text AS source, target FROM (
   SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS target FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'))"""
 
 
 def _pairs(spark, sf_dir):
-    """Turn pairs; every fourth target is the source in capitals or blank, so that each rule has cases."""
+    """Turn pairs; every fourth target is the source with wider blanks, or blank, so that each rule has cases."""
     p = lint.turn_pairs(_t(spark, sf_dir, "conversations"))
-    return p.withColumn("target", F.when(F.col("turn") % 8 == 0, F.upper("source")).when(F.col("turn") % 8 == 4, "  ").otherwise(F.col("target")))
+    return p.withColumn("target", F.when(F.col("turn") % 8 == 0, F.replace("source", F.lit(" "), F.lit("  "))).when(F.col("turn") % 8 == 4, "  ").otherwise(F.col("target")))
 
 
 _WORD = r"regexp_extract(text, '^[^ ]*?([A-Za-z]+)', 1)"
