@@ -15,7 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def ready(spark: SparkSession) -> None:
-    """Before each stage: workers have the code, executors' heaps are small."""
+    """Before a stage that needs memory beside the executors' heaps: they are made small, and workers have the code."""
     ship(spark)
     give_back(spark)
 
@@ -32,7 +32,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     could be learned, texts with a letter stay as they are. Repeated rows and null ids are rows like any
     other; columns beyond those of documents are left out. No rows: none.
     """
-    ready(spark)
+    ship(spark)
     model = op09_langid.train(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -48,7 +48,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Groups are of rows, not ids: rows are numbered and written first, so the numbers hold in every
     later read, and repeated or null ids are rows like any other. Texts without a shingle all stay.
     """
-    ready(spark)
+    ship(spark)
     rows = written(docs.select(*COLUMNS).withColumn("row_", F.monotonically_increasing_id()), f"{work_dir(spark)}/rows")
     groups = op06_jaccard.link_components(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), "component_id")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_"))
@@ -58,7 +58,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark; n_chars follows. Null texts stay null, empty ones empty."""
-    ready(spark)
+    ship(spark)
     return op08_secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
