@@ -63,8 +63,8 @@ OFTEN = 60
 FREQUENT = 200_000
 #: Parts that the rows of a frequent key are dealt to where only equal rows have to meet.
 SALTS = 4_096
-#: Pairs that are looked at in one numpy step.
-STEP = 1 << 17
+#: Pairs that are looked at in one numpy step; rows that a task gathers before it looks at their groups.
+STEP, HELD = 1 << 17, 1 << 15
 #: Nodes, of some 50 bytes each, that are sent to all tasks to pick their texts.
 BROADCAST_NODES = 200_000
 
@@ -457,7 +457,7 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
             if b.num_rows:
                 held.append(b)
                 count += b.num_rows
-            if count > STEP and (out := flush(False)) is not None:
+            if count > HELD and (out := flush(False)) is not None:
                 yield out
         if held and (out := flush(True)) is not None:
             yield out
