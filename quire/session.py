@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of a batch for Python workers: texts of some kilobytes make batches of some megabytes.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS, DEFAULT_ROWS = "2000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the Python workers, once per application."""
+    """Send this package's source to the Python workers, once per application; smaller batches where nothing else is set."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, ROWS)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import lint, segments, terms
+from quire.operators import glossary, lint, segments, terms
 from quire.sources.html import blocks_of
 
 
@@ -30,27 +30,28 @@ def test_length_flags(spark):
 
 def test_upsert_fold(spark):
     rows = [("x", "a", "low", 1), ("x", "b", "high", 2), ("x", "c", "high", 3), ("x", "b", "low", 4), ("y", "q", "odd", 1), ("y", "r", "medium", 2)]
-    d = spark.createDataFrame(rows, "source string, target string, confidence string, seq long")
-    got = {r.source: tuple(r)[1:] for r in terms.upsert_fold(d).collect()}
-    assert got == {"x": ("b", "high", "conflict", 2, 1), "y": ("q", "odd", "ok", 1, 0)}
+    steps = glossary.fold(spark.createDataFrame(rows, "source string, target string, confidence string, seq long"))
+    got = {r.source: (r.target, r.confidence, r.status) for r in glossary.terms(steps).collect()}
+    assert got == {"x": ("b", "high", "conflict"), "y": ("q", "odd", "conflict")}  # the loser leaves a conflict too
+    assert [(r.source, r.result) for r in steps.orderBy("source", "seq").collect()] == [("x", "inserted"), ("x", "updated"), ("x", "conflict"), ("x", "unchanged"), ("y", "inserted"), ("y", "conflict")]
 
 
 def test_contained_by_both_ways(spark, monkeypatch):
     d = spark.createDataFrame([(1, "An Artful party"), (2, None), (3, "nothing")], "d long, text string")
     t = spark.createDataFrame([(7, "artful"), (8, "party"), (9, "absent")], "k long, term string")
     want = {(1, 7), (1, 8)}
-    assert {tuple(r) for r in terms.contained(d, t, "d", "text", "k", "term").collect()} == want
-    monkeypatch.setattr(terms, "MAX_TERMS", 0)
-    assert {tuple(r) for r in terms.contained(d, t, "d", "text", "k", "term").collect()} == want
+    assert {tuple(r) for r in terms.contained(d, t, ["d"], "text", ["k"], "term").collect()} == want
+    monkeypatch.setattr(terms, "TERM_BYTES", 1)  # a pass for each few terms
+    assert {tuple(r) for r in terms.contained(d, t, ["d"], "text", ["k"], "term").collect()} == want
 
 
 def test_contained_finds_short_terms_both_ways(spark, monkeypatch):
     d = spark.createDataFrame([(1, "An Artful party"), (2, None), (3, "art"), (4, ""), (5, "日本語の本")], "d long, text string")
     t = spark.createDataFrame(list(enumerate(["a", "rt", "art", "Part", "artful", "y", "本", "日本", "absent", "", "zz"])), "k long, term string")
-    find = lambda: sorted(tuple(r) for r in terms.contained(d, t, "d", "text", "k", "term").collect())
+    find = lambda: sorted(tuple(r) for r in terms.contained(d, t, ["d"], "text", ["k"], "term").collect())
     want = find()
     assert {(1, 0), (3, 1), (1, 2), (1, 3), (5, 6), (5, 7)} <= set(want)
-    monkeypatch.setattr(terms, "MAX_TERMS", 0)
+    monkeypatch.setattr(terms, "TERM_BYTES", 1)  # a pass for each few terms
     assert find() == want
 
 
