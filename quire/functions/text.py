@@ -41,7 +41,7 @@ def title_case(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(\p{L}(?:[\p{L}'\-])*)"), 1)
+    return F.regexp_extract_all(c, F.lit(r"\p{L}[\p{L}'\-]*"), 0)
 
 
 def han_numeral(n: Column) -> Column:

@@ -29,10 +29,10 @@ STOP = tuple(dict.fromkeys([*_CLOSED, *_POSSESSIVE, *_REFLEXIVE, *_CLIPPED]))
 # Small words that may stand inside a name.
 CONNECTORS = "of the and de von van der du la le for in at".split()
 
-# One token of a sentence whose tokens are joined by blanks.
+# One token of a sentence whose tokens are joined by blanks. Java matches greedy groups by recursion, so that a long
+# run would overflow the stack and end the executor; possessive ones are loops.
 _TITLE = r"\p{Lu}(?=[^ ]*\p{Ll})[^\p{Lu}\p{Lt} ]+(?![^ ])"
-_RUN = rf"(?<![^ ]){_TITLE}(?: (?:{_TITLE}|(?i:{'|'.join(CONNECTORS)})(?= {_TITLE})))*"
-_STOPPED = f"(?i:{'|'.join(STOP)})"
+_RUN = rf"(?<![^ ]){_TITLE}(?: (?:{_TITLE}|(?i:{'|'.join(CONNECTORS)})(?= {_TITLE})))*+"
 
 
 def sentences(c: Column) -> Column:
@@ -52,6 +52,14 @@ def title_case_tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return t.groupBy("tok").agg(F.count("*").alias("token_total"), F.countDistinct(key).alias("n_docs"), F.bool_or(F.col("pos") != 0).alias("ever_inside"))
 
 
+def _bare(run: Column) -> Column:
+    """A run without the stop words at its ends; empty if there are no others. Linear in its words."""
+    w = F.split(run, " ")
+    counts = F.transform(w, lambda x: ~F.lower(x).isin(*STOP))
+    first, after = F.array_position(counts, True), F.array_position(F.reverse(counts), True)
+    return F.when(first > 0, F.array_join(F.slice(w, first.cast("int"), (F.size(w) - after - first + 2).cast("int")), " ")).otherwise("")
+
+
 def sightings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every possible term where it stands: ``key``, sent, kind ('run', 'word', 'caps'), surface, context.
 
@@ -60,8 +68,7 @@ def sightings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     s = df.select(key, F.posexplode(sentences(F.col(text))).alias("sent", "s")).withColumn("w", words(F.col("s")))
     runs = F.regexp_extract_all(F.array_join("w", " "), F.lit(_RUN), 0)
-    bare = F.transform(runs, lambda r: F.regexp_replace(F.regexp_replace(r, f"^(?:{_STOPPED}(?: |$))+", ""), f"(?:(?:^| ){_STOPPED})+$", ""))
-    found = F.transform(F.filter(bare, lambda r: r != ""), lambda r: F.struct(F.when(F.contains(r, F.lit(" ")), "run").otherwise("word").alias("kind"), r.alias("surface")))
+    found = F.transform(F.filter(F.transform(runs, _bare), lambda r: r != ""), lambda r: F.struct(F.when(F.contains(r, F.lit(" ")), "run").otherwise("word").alias("kind"), r.alias("surface")))
     caps = F.transform(F.filter("w", lambda x: all_caps(x) & ~F.lower(x).isin(*STOP)), lambda x: F.struct(F.lit("caps").alias("kind"), x.alias("surface")))
     context = F.substring(F.regexp_replace("s", r"(?U)^\s+", ""), 1, CONTEXT_CHARS).alias("context")
     return s.select(key, "sent", context, F.explode(F.concat(found, caps)).alias("f")).select(key, "sent", "f.kind", "f.surface", "context")

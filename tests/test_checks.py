@@ -167,3 +167,13 @@ def test_candidates_by_hand(spark):
     assert got["Phoebe Smith"] == (1, 1, 1) and got["Bank of England"] == (1, 1, 1) and got["Phoebe"] == (3, 2, 1) and got["TSMC"] == (2, 1, 1) and got["Cornwall"] == (2, 1, 2) and got["Old Town"] == (1, 1, 1)
     assert not {"But", "III", "Don", "Do", "Yes", "The"} & set(got)
     assert [r.context for r in terms.contexts(d, "k").where("surface = 'Phoebe'").orderBy("nth").collect()] == ["Phoebe went.", "I saw Phoebe."]
+
+
+def test_candidates_of_runs_of_any_length(spark):
+    """A greedy group in a Java pattern recurses, so that such runs overflowed the stack and ended executors."""
+    n = 20_000
+    names, stops = " ".join(["Alpha The"] * n), " ".join(["The"] * n)
+    letters = "A" + "b\U00010428" * n  # letters in one and in two Java characters
+    d = spark.createDataFrame([(1, f"The {names} Beta And Of"), (2, f"{stops} Gamma {stops} Delta {stops}"), (3, stops), (4, f"saw {letters} or {letters}")], "k int, text string")
+    got = {r.surface: (r.n, r.n_docs, r.first_doc) for r in terms.candidates(d, "k").collect()}
+    assert got == {f"{names} Beta": (1, 1, 1), f"Gamma {stops} Delta": (1, 1, 2), letters: (2, 1, 4)}
