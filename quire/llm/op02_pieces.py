@@ -29,6 +29,8 @@ from .common import table, tidy
 MARK = "▁"
 #: Parts of texts whose ids are kept; the cache is emptied when it is full.
 CACHE_PARTS = 300_000
+#: Parts whose decoded text is kept, by their ids.
+SPOKEN_PARTS = 60_000
 #: Pairs of pieces whose compatibility is kept.
 MAX_PAIRS = 200_000
 
@@ -74,6 +76,7 @@ class Pieces:
         self.digits = {p: str(i) for p, i in self.ids.items()}
         #: Text of each id that stands for itself wherever it is.
         self.plain = {str(i): p.replace(MARK, " ") for p, i in self.ids.items()}
+        self.spoken = _Spoken(self)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored adjacent pair first, the leftmost among equals."""
@@ -159,8 +162,11 @@ class Pieces:
     def encode(self, text: str | None) -> list[int]:
         return [i for part in self.cut(self.marked(text or "")) for p in self.segment(part) for i in self.piece_ids(p)]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of any list of ids; runs of bytes that are no UTF-8 give a replacement character each."""
+    def decode(self, ids: list[int], begin: bool | None = None) -> str:
+        """Text of any list of ids; runs of bytes that are no UTF-8 give a replacement character each.
+
+        ``begin``: whether a first mark goes, as the model has it; not so for ids that follow others.
+        """
         out: list[str] = []
         raw = bytearray()
 
@@ -179,7 +185,7 @@ class Pieces:
                     i += 1
             raw.clear()
 
-        begin = self.dummy
+        begin = self.dummy if begin is None else begin
         for i in ids:
             if i in self.id_byte:
                 raw.append(self.id_byte[i])
@@ -213,17 +219,17 @@ class Pieces:
         if not text:
             return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
         if self.dummy and self.cut_at_mark and MARK not in text and "  " not in text and text[0] != " " != text[-1]:
-            ids = ",".join(map(self.cache.__getitem__, text.split(" ")))
+            parts = list(map(self.cache.__getitem__, text.split(" ")))
         else:
-            ids = ",".join(map(self.part_ids, self.cut(self.marked(text))))
-        every = ids.split(",")
+            parts = list(map(self.part_ids, self.cut(self.marked(text))))
+        ids = ",".join(parts)
         try:
-            decoded = "".join(map(self.plain.__getitem__, every))
-            if self.dummy and self.text[int(every[0])].startswith(MARK):
+            decoded = "".join(map(self.spoken.__getitem__, parts))
+            if self.dummy and self.text[int(ids.split(",", 1)[0])].startswith(MARK):
                 decoded = decoded[1:]
-        except KeyError:  # bytes or an unknown piece
-            decoded = self.decode(list(map(int, every)))
-        return len(every), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        except KeyError:  # parts that begin with a byte or an unknown piece
+            decoded = self.decode(list(map(int, ids.split(","))))
+        return ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 class _Parts(dict):
@@ -245,6 +251,35 @@ class _Parts(dict):
         return got
 
 
+class _Spoken(dict):
+    """Text that the joined ids of a part decode to: two generations of SPOKEN_PARTS // 2 at most.
+
+    A part that begins with a piece ends any run of bytes before it, so it decodes by itself; others raise KeyError.
+    """
+
+    def __init__(self, model: Pieces):
+        self.model, self.plain = model, model.plain
+        self.old: dict[str, str] = {}
+
+    def __missing__(self, ids: str) -> str:
+        got = self.old.get(ids)
+        if got is None:
+            every = ids.split(",")
+            try:
+                got = "".join(map(self.plain.__getitem__, every))
+            except KeyError:
+                numbers = list(map(int, every))
+                if every[0] not in self.plain or not self.model.silent.isdisjoint(numbers):
+                    raise
+                got = self.model.decode(numbers, begin=False)
+        if len(ids) <= 128:
+            if len(self) >= SPOKEN_PARTS // 2:
+                self.old = dict(self)
+                self.clear()
+            self[ids] = got
+        return got
+
+
 _loaded: dict[str, Pieces] = {}
 
 

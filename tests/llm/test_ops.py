@@ -136,6 +136,22 @@ def test_op2_equals_the_library(spark, docs, none):
     assert all(b.decoded == (b.text or "") for b in both)
 
 
+def test_op2_decodes_texts_with_bytes_by_parts(monkeypatch):
+    """Line ends are bytes in the vocabulary, so that nearly every text was decoded id by id."""
+    import sentencepiece
+
+    path = o2.tokenizer_path()
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), o2.Pieces(path)
+    r = random.Random(8)
+    texts = ["the\nend é\n of", "a \n\n b", "x\t日😀\n y 😀\x00z"] + [" ".join("".join(r.choice("aé\n日😀\x7f�") for _ in range(r.randint(1, 6))) for _ in range(9)) for _ in range(500)]
+    want = [hashlib.sha256(lib.decode(lib.encode(t)).encode()).hexdigest() for t in texts]
+    assert [own.digest(t)[2] for t in texts] == want
+    whole = []
+    real = o2.Pieces.decode
+    monkeypatch.setattr(o2.Pieces, "decode", lambda self, ids, begin=None: (begin is None and whole.append(ids), real(self, ids, begin))[1])
+    assert own.digest("some words\nand more\nof them")[2] == hashlib.sha256(b"some words\nand more\nof them").hexdigest() and not whole
+
+
 def test_op3(docs, none):
     got = o3.shard_by_bytes(docs, shards=5, ranges=9).toPandas()
     assert len(got) == docs.count() and o3.shard_by_bytes(none).count() == 0
