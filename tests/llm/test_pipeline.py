@@ -1,10 +1,13 @@
 """Stages of the corpus pipeline and its whole run against plain Python."""
 
 import random
+import re
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline as cp
+from quire.llm import common as c
 from quire.llm import op05_mixing as o5
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,3 +61,19 @@ def test_language_rejects_noise_and_corrects_labels(spark):
     assert all(got[i] == lang for i, _, lang in rows) and got[None] == "de" and got[503] == "en"
     assert [x.doc_id for x in cp.known_language(spark, d.withColumn("lang", cp.F.lit(None).cast("string")).where("doc_id > 499"), "").collect()] == [500, 503]
     assert cp.known_language(spark, d.limit(0), "").count() == 0
+
+
+def test_steps_return_free_memory_of_the_driver(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    mb = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+    c.written(spark.range(9), str(tmp_path / "first"))
+    made = [jvm.java.util.zip.Deflater() for _ in range(1000)]
+    for x in made[:-1]:  # the last one keeps what is freed below it from going back by itself
+        x.end()
+    jvm.System.gc()
+    before = mb()
+    assert c.written(spark.range(9), str(tmp_path / "second")).count() == 9
+    heap = jvm.java.lang.Runtime.getRuntime()
+    total, used = heap.totalMemory() >> 20, (heap.totalMemory() - heap.freeMemory()) >> 20
+    assert (mb() < before - 10, total < 2.5 * used) == (True, True), (before, mb(), total, used)
